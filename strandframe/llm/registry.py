@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, media, pii, warc
+from . import chat, decontaminate, media, mixing, pii, quality, toxicity, warc
 
 QUERIES = {
     "op1_chat_format": chat.query,
+    "op2_quality": quality.query,
+    "op4_mixing": mixing.query,
     "op5_pii": pii.query,
     "op6_warc": warc.query,
+    "op7_toxicity": toxicity.query,
     "op9_media": media.query,
     "op10_decontaminate": decontaminate.query,
 }
