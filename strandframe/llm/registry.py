@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, media, mixing, pii, quality, toxicity, warc
+from . import chat, decontaminate, media, mixing, neardup, pii, quality, toxicity, warc
 
 QUERIES = {
     "op1_chat_format": chat.query,
@@ -11,6 +11,7 @@ QUERIES = {
     "op5_pii": pii.query,
     "op6_warc": warc.query,
     "op7_toxicity": toxicity.query,
+    "op8_near_duplicates": neardup.query,
     "op9_media": media.query,
     "op10_decontaminate": decontaminate.query,
 }
