@@ -145,8 +145,8 @@ class Phrases:
         self.groups = [(size, np.array([p for p, _ in got]), [who for _, who in got]) for size, got in sorted(by_size.items())]
         self.shortest = min(by_size, default=0)
 
-    def hits(self, w: tv.Words) -> Iterator[tuple[np.ndarray, int, list[int]]]:
-        """Word positions in the slice, phrase length and items of each phrase found."""
+    def hits(self, w: tv.Words) -> Iterator[tuple[np.ndarray, np.ndarray, int, list[list[int]]]]:
+        """By phrase length: word positions in the slice, the phrase at each, the length, and each phrase's items."""
         if not self.groups:
             return
         ids = np.zeros(len(w.hash), np.int64)
@@ -171,8 +171,9 @@ class Phrases:
         index = FMIndex(text)
         for _, phrases, owners in self.groups:
             low, high = index.search(phrases)
-            for k in np.flatnonzero(high > low):
-                yield place[index.locate(np.arange(low[k], high[k]))], phrases.shape[1], owners[k]
+            found = high - low
+            rows = np.repeat(low, found) + tv.spread(found)
+            yield place[index.locate(rows)], np.repeat(np.arange(len(phrases)), found), phrases.shape[1], owners
 
 
 def _blocks(benchmark: DataFrame, window: int, block_bytes: int) -> list:
@@ -218,11 +219,11 @@ def find_contamination(documents: DataFrame, benchmark: DataFrame, window: int =
             items: dict[int, set[str]] = {}
             for block in blocks:
                 phrases = block.value
-                for at, size, owners in phrases.hits(w):
+                for at, which, size, owners in phrases.hits(w):
                     np.add.at(depth, at, 1)
                     np.add.at(depth, at + size, -1)
-                    for r in set(row[at].tolist()):
-                        items.setdefault(r, set()).update(phrases.names[o] for o in owners)
+                    for r, k in set(zip(row[at].tolist(), which.tolist(), strict=True)):
+                        items.setdefault(r, set()).update(phrases.names[o] for o in owners[k])
             hit = np.cumsum(depth[:-1]) > 0
             joined = np.zeros(n, bool)
             joined[1:] = hit[1:] & hit[:-1] & (row[1:] == row[:-1])

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, media, mixing, neardup, pii, quality, toxicity, warc
+from . import chat, decontaminate, media, mixing, neardup, pii, quality, repeats, toxicity, warc
 
 QUERIES = {
     "op1_chat_format": chat.query,
     "op2_quality": quality.query,
+    "op3_repeats": repeats.query,
     "op4_mixing": mixing.query,
     "op5_pii": pii.query,
     "op6_warc": warc.query,
