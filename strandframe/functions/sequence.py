@@ -6,11 +6,14 @@ on text that is not ASCII.
 
 from __future__ import annotations
 
+import string
+from collections.abc import Callable
 from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Complement of the IUPAC nucleotide codes (U reads as T's partner).
 IUPAC, IUPAC_COMPLEMENT = "ACGTURYSWKMBDHVN", "TGCAAYRSWMKVHDBN"
@@ -37,6 +40,11 @@ def hash_prefix(seq: Column, n: int = 32) -> Column:
     return F.left(F.md5(seq), F.lit(n))
 
 
+def upper_ascii(seq: Column) -> Column:
+    """a-z in upper case; unlike a full case mapping it never changes the length."""
+    return F.translate(seq, string.ascii_lowercase, string.ascii_uppercase)
+
+
 def letters(seq: Column) -> Column:
     """Array of characters; empty for the empty string."""
     return F.filter(F.split(seq, ""), lambda c: c != "")
@@ -57,13 +65,27 @@ def canonical_kmer(kmer: Column) -> Column:
     return F.least(kmer, F.translate(F.reverse(kmer), "ACGT", "TGCA"))
 
 
+def _bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` over a value that is computed once: a lambda variable instead of
+    an expression that each element of an inner loop would evaluate again."""
+    return F.transform(F.array(value), body)[0]
+
+
 def kmers(seq: Column, k: int, skip_ambiguous: bool = False) -> Column:
-    """All windows of k characters, an empty array where there is none."""
-    n = F.char_length(seq)
-    windows = F.when(n >= k, F.transform(F.sequence(F.lit(1), F.greatest(n - k + 1, F.lit(1))), lambda i: F.substr(seq, i, F.lit(k)))).otherwise(F.array().cast("array<string>"))
+    """All windows of k characters, an empty array where there is none.
+
+    Windows are slices of the array of characters, so the time is linear.
+    """
+    window = lambda chars: F.transform(F.sequence(F.lit(1), F.greatest(F.size(chars) - (k - 1), F.lit(1))), lambda i: F.array_join(F.slice(chars, i, k), ""))
+    windows = F.when(F.char_length(seq) >= k, _bound(letters(seq), window)).otherwise(F.array().cast("array<string>"))
     return F.filter(windows, lambda w: w.rlike("^[ACGT]+$")) if skip_ambiguous else windows
 
 
+def codons(seq: Column) -> Column:
+    """The whole codons of frame 1."""
+    return F.regexp_extract_all(seq, F.lit("(?s)..."), F.lit(0))
+
+
 def hamming(a: Column, b: Column) -> Column:
     """Differing positions; null unless both have one length."""
     unequal = F.filter(F.zip_with(letters(a), letters(b), lambda x, y: x != y), lambda d: d)
@@ -187,11 +209,8 @@ def translate(seq: Column, frame: int = 1, code: int = 1, mark_starts: bool = Tr
         raise ValueError(f"no frame {frame}")
     clean = F.translate(F.upper(F.regexp_replace(seq, r"\s+", "")), "U", "T")
     strand = clean if frame > 0 else revcomp(clean)
-    body = F.substr(strand, F.lit(abs(frame)))
     table = F.create_map(*[F.lit(x) for pair in translation_table(code, mark_starts).items() for x in pair])
-    n = F.floor(F.char_length(body) / 3).cast("int")
-    codon = lambda i: F.coalesce(F.element_at(table, F.substr(body, i * 3 + 1, F.lit(3))), F.lit("X"))
-    return F.when(n > 0, F.array_join(F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), codon), "")).otherwise(F.when(seq.isNotNull(), F.lit("")))
+    return F.array_join(F.transform(codons(F.substr(strand, F.lit(abs(frame)))), lambda c: F.coalesce(F.element_at(table, c), F.lit("X"))), "")
 
 
 FRAMES = (1, 2, 3, -1, -2, -3)
@@ -223,12 +242,9 @@ def orfs(protein: Column, mode: int = 1, least: int = 16) -> Column:
 
 def codon_usage(seq: Column) -> Column:
     """Map from codon to its share in frame 1; codons with N are left out."""
-    n = F.floor(F.char_length(seq) / 3).cast("int")
-    codons = F.when(n > 0, F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda i: F.substr(F.upper(seq), i * 3 + 1, F.lit(3)))).otherwise(F.array().cast("array<string>"))
-    kept = F.filter(codons, lambda c: ~c.contains("N"))
-    share = lambda c: F.size(F.filter(kept, lambda x: x == c)) / F.size(kept)
-    distinct = F.array_sort(F.array_distinct(kept))
-    return F.map_from_arrays(distinct, F.transform(distinct, share))
+    kept = F.filter(codons(F.upper(seq)), lambda c: ~c.contains("N"))
+    share = lambda all_: F.transform(F.array_sort(F.array_distinct(all_)), lambda c: F.struct(c.alias("key"), (F.size(F.filter(all_, lambda x: x == c)) / F.size(all_)).alias("value")))
+    return F.map_from_entries(_bound(kept, share))
 
 
 # ---- masks and slices -----------------------------------------------------
@@ -259,7 +275,7 @@ def clipped_containment(long_: Column, short: Column, most: int, both: bool = Tr
     return delta.between(1, most) & (F.contains(long_, short) if both else edge)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def least_rotation(seqs: pd.Series) -> pd.Series:
     """The least cyclic shift, in linear time (no built-in expresses it in less than n*n)."""
 
@@ -290,7 +306,7 @@ def track_span(seq: Column, k: int = 9, inverted: bool = False) -> Column:
     return _track(seq, F.lit(k), F.lit(inverted))
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(T.IntegerType())
 def _track(seqs: pd.Series, ks: pd.Series, inverted: pd.Series) -> pd.Series:
     comp = str.maketrans("ACGT", "TGCA")
 

@@ -101,4 +101,4 @@ def prefilter_pairs(edges: DataFrame, pairs: DataFrame, a: str = "seq_a", b: str
 
 def fragment_length(df: DataFrame, length: str, share: float = 0.25) -> DataFrame:
     """A fragment length from the lower quartile of sequence lengths."""
-    return df.agg(F.percentile_disc(share, length).alias("fragment_length")) if hasattr(F, "percentile_disc") else df.agg(F.expr(f"percentile_disc({share}) within group (order by {length})").alias("fragment_length"))
+    return df.agg(F.expr(f"cast(percentile_disc({share}) within group (order by {length}) as bigint)").alias("fragment_length"))

@@ -125,13 +125,13 @@ def split_ranges(df: DataFrame, query: str, start: str, end: str, rank: str, tie
     that covers it, and neighbouring pieces of one hit are joined again.
     """
     ranked = with_uid(df, query, rank, ties)
-    cuts = ranked.select(query, F.col(start).alias("p")).union(ranked.select(query, F.col(end))).distinct()
-    pieces = cuts.withColumn("q", F.lead("p").over(Window.partitionBy(query).orderBy("p"))).where("q is not null")
-    own = overlap_join(pieces, ranked.select(query, F.col(start).alias("p"), F.col(end).alias("q"), "uid"), query, "p", "q", 1)
-    best = own.groupBy(F.col(f"a_{query}").alias(query), F.col("a_p").alias("p"), F.col("a_q").alias("q")).agg(F.min("b_uid").alias("uid"))
-    w = Window.partitionBy(query, "uid").orderBy("p")
-    runs = best.withColumn("_new", (F.coalesce(F.lag("q").over(w), F.lit(None)) != F.col("p")).cast("int")).withColumn("_run", F.sum(F.coalesce("_new", F.lit(1))).over(w))
-    joined = runs.groupBy(query, "uid", "_run").agg(F.min("p").alias("_s"), F.max("q").alias("_e"))
+    cuts = ranked.select(query, F.col(start).alias("_p")).union(ranked.select(query, F.col(end))).distinct()
+    pieces = cuts.withColumn("_q", F.lead("_p").over(Window.partitionBy(query).orderBy("_p"))).where("_q is not null")
+    own = overlap_join(pieces, ranked.select(query, F.col(start).alias("_p"), F.col(end).alias("_q"), "uid"), query, "_p", "_q", 1)
+    best = own.groupBy(F.col(f"a_{query}").alias(query), F.col("a__p").alias("_p"), F.col("a__q").alias("_q")).agg(F.min("b_uid").alias("uid"))
+    w = Window.partitionBy(query, "uid").orderBy("_p")
+    runs = best.withColumn("_new", (F.lag("_q").over(w) != F.col("_p")).cast("int")).withColumn("_run", F.sum(F.coalesce("_new", F.lit(1))).over(w))
+    joined = runs.groupBy(query, "uid", "_run").agg(F.min("_p").alias("_s"), F.max("_q").alias("_e"))
     return joined.join(ranked, [query, "uid"]).select(*[F.col("_s").alias(c) if c == start else F.col("_e").alias(c) if c == end else c for c in df.columns])
 
 

@@ -10,7 +10,7 @@ from ..functions import sequence as sq
 
 def kmer_rows(df: DataFrame, id_: str, seq: str, k: int, canonical: bool = False, skip_ambiguous: bool = False) -> DataFrame:
     """id and kmer, one row per window."""
-    rows = df.select(F.col(id_).alias("id"), F.explode(sq.kmers(F.upper(seq), k, skip_ambiguous)).alias("kmer"))
+    rows = df.select(F.col(id_).alias("id"), F.explode(sq.kmers(sq.upper_ascii(F.col(seq)), k, skip_ambiguous)).alias("kmer"))
     return rows.select("id", sq.canonical_kmer(F.col("kmer")).alias("kmer")) if canonical else rows
 
 
@@ -29,13 +29,13 @@ def without_repetitive(df: DataFrame, id_: str, seq: str, k: int, most: int) ->
     return df.join(bad, id_, "left_anti")
 
 
-def kmer_overlap(df: DataFrame, id_: str, seq: str, k: int, least: float = 0.5, canonical: bool = True, least_shared: int = 1) -> DataFrame:
+def kmer_overlap(df: DataFrame, id_: str, seq: str, k: int, least: float = 0.5, canonical: bool = True, least_shared: int = 1, skip_ambiguous: bool = True) -> DataFrame:
     """Pairs seq_a < seq_b with their shared distinct k-mers over the smaller set (four digits).
 
     The pairs come from an equi-join on the k-mer of an inverted index; only
     k-mers of two sequences or more enter it.
     """
-    sets = kmer_rows(df, id_, seq, k, canonical, skip_ambiguous=True).distinct()
+    sets = kmer_rows(df, id_, seq, k, canonical, skip_ambiguous).distinct()
     sizes = sets.groupBy("id").agg(F.count(F.lit(1)).alias("n"))
     common = sets.groupBy("kmer").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("kmer")
     index = sets.join(common, "kmer")

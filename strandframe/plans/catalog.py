@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from . import graphs, intervals, sequences
+
+QUERIES = {**sequences.QUERIES, **intervals.QUERIES, **graphs.QUERIES}
+ORACLES: dict[str, str] = {**sequences.ORACLES, **intervals.ORACLES, **graphs.ORACLES}
