@@ -106,14 +106,16 @@ def _lines(stream, start: int, end: int | None) -> Iterator[bytes]:
     # begin one byte earlier: a record that begins at start follows a line break
     at = max(start - 1, 0)
     stream.seek(at)
-    inside, rest = start == 0, b""
+    inside, rest, first = start == 0, b"", start > 0
     while True:
         chunk = stream.read(1 << 20)
         block = rest + chunk
         parts = block.split(b"\n")
         rest = parts.pop() if chunk else b""
         for line in parts:
-            if line.startswith(b">"):
+            if first:  # the end of a line that began before
+                first = False
+            elif line.startswith(b">"):
                 if end is not None and at >= end:
                     return
                 inside = True
