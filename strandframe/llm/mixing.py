@@ -5,8 +5,9 @@ each document posteriors over the domains (the languages of the labelled
 rows). With n tokens and posteriors p, document d adds r*n*p[k] expected
 tokens to domain k. Rates r >= ``min_rate`` minimise the squared distance of
 all domains' expected tokens from their targets by projected gradient steps,
-scaled by the inverse of the K x K Gram matrix. A step needs the K sums of one
-distributed aggregate; the rate of a document is a fold of its own row over
+scaled by the inverse of the K x K Gram matrix of the rows that can move and
+halved until the distance falls. A step needs K*K and K sums of two or more
+distributed aggregates; the rate of a document is a fold of its own row over
 the K-vectors of all steps, so no rate is ever stored or collected.
 
 Documents without words (null and empty texts among them) have uniform
@@ -32,7 +33,7 @@ from . import labelled
 from . import textvec as tv
 
 TRAIN_ROWS, EPOCHS, BUCKETS = 4000, 6, 1 << 14
-STEPS, TOLERANCE = 40, 1e-9
+STEPS, HALVINGS, TOLERANCE = 40, 8, 1e-9
 MIN_RATE = 1.0
 
 
@@ -135,25 +136,36 @@ def fit_rates(members: DataFrame, targets: list[float], floor: float = MIN_RATE,
     """
     k = len(targets)
     mass = [F.col("n_tokens") * F.col("posterior")[j] for j in range(k)]
-    grams = [F.sum(mass[i] * mass[j]).alias(f"g{i}_{j}") for i in range(k) for j in range(i, k)]
-    row = members.agg(*[F.sum(m).alias(f"s{j}") for j, m in enumerate(mass)], *grams).first()
+    row = members.agg(*[F.sum(m).alias(f"s{j}") for j, m in enumerate(mass)], *[F.sum(m * m).alias(f"q{j}") for j, m in enumerate(mass)]).first()
     have = np.array([row[f"s{j}"] or 0.0 for j in range(k)])
     if not have.sum():
         return F.lit(1.0), {"targets": [0.0] * k, "expected": [0.0] * k, "steps": 0}
-    gram = np.array([[row[f"g{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)])
-    scale = float(np.sqrt(np.trace(gram)))
-    inverse = np.linalg.pinv(gram / scale**2)
+    scale = float(np.sqrt(sum(row[f"q{j}"] for j in range(k))))
     share = np.array(targets) / sum(targets)
     total = have.sum() if floor < 1 else float(max(h / s for h, s in zip(have, share, strict=True) if s > 0))
-    goal, path, now = share * total, [], have * max(1.0, floor)
-    done = 0
-    for done in range(1, steps + 1):
-        if np.abs(goal - now).max() <= TOLERANCE * total:
-            break
-        path.append((inverse @ ((goal - now) / scale)).tolist())
-        rate = _rate(path, scale, floor)
-        got = members.withColumn("_r", rate).agg(*[F.sum(F.col("_r") * m).alias(f"s{j}") for j, m in enumerate(mass)]).first()
-        before, now = now, np.array([got[f"s{j}"] for j in range(k)])
+    goal, path, now, done = share * total, [], have * max(1.0, floor), 0
+
+    def gram(gap: np.ndarray) -> np.ndarray:
+        """Of the rows that may move: those off the floor, or at it and drawn upward."""
+        pull = sum((m * float(g) for m, g in zip(mass, gap / scale, strict=True)), F.lit(0.0))
+        free = members.withColumn("_r", _rate(path, scale, floor)).where((F.col("_r") > floor + 1e-9) | (pull > 0))
+        row = free.agg(*[F.sum(mass[i] * mass[j] / F.lit(scale**2)).alias(f"g{i}_{j}") for i in range(k) for j in range(i, k)]).first()
+        return np.array([[row[f"g{min(i, j)}_{max(i, j)}"] or 0.0 for j in range(k)] for i in range(k)])
+
+    def expected(steps: list) -> np.ndarray:
+        got = members.withColumn("_r", _rate(steps, scale, floor)).agg(*[F.sum(F.col("_r") * m).alias(f"s{j}") for j, m in enumerate(mass)]).first()
+        return np.array([got[f"s{j}"] for j in range(k)])
+
+    while done < steps and np.abs(goal - now).max() > TOLERANCE * total:
+        done += 1
+        step, before = np.linalg.pinv(gram(goal - now), rcond=1e-10) @ ((goal - now) / scale), now
+        for _ in range(HALVINGS):  # until the distance falls
+            trial = expected([*path, step.tolist()])
+            if np.linalg.norm(goal - trial) < np.linalg.norm(goal - now):
+                path.append(step.tolist())
+                now = trial
+                break
+            step = step / 2
         if np.abs(now - before).max() <= TOLERANCE * total:
             break
     return _rate(path, scale, floor), {"targets": goal.tolist(), "expected": now.tolist(), "steps": done}
