@@ -10,7 +10,7 @@ from strandframe.session import local_session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    session = local_session("tests", cores="4", partitions=4)
+    session = local_session("tests", cores="3", partitions=4)
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
