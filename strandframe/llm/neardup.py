@@ -8,11 +8,13 @@ borrows from the first filled one of an order fixed for it.
 
 Documents of equal sets are one class, represented by the least doc_id. Bands
 of compressed registers put representatives into groups. In a group every
-member is paired with the least one; after these links are joined into
-components, members of groups that still hold several components are paired
-across components, the largest component of a group being left out on one
-side. So a group of n linked copies costs n pairs, and no pair of a group is
-skipped unless its ends are already joined. Before a pair is confirmed its
+member is paired with the least one, and these links are joined into
+components. In ``ROUNDS`` more rounds, groups that still hold several
+components pair their members with the member that has most links so far.
+Last, what is left is paired across components, the largest component of a
+group being left out on one side. So a group of n linked copies costs a few n
+pairs, and no pair of a group is skipped unless its ends are already joined.
+Before a pair is confirmed its
 Jaccard index is estimated from one mantissa bit per register, corrected for
 the half of unequal registers whose bits agree by chance; the estimate must
 reach ``ESTIMATE``, 7 standard deviations below the threshold. Confirmation
@@ -38,6 +40,7 @@ from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
 from ..session import materialize, read_table
+from . import bitmap as bitmaps
 from . import textvec as tv
 
 SHINGLE, PERCENT = 5, 80
@@ -45,6 +48,7 @@ BUCKET_BITS, MANTISSA = 8, 10
 BUCKETS = 1 << BUCKET_BITS
 BANDS, ROWS = 42, 6
 ESTIMATE = 0.53
+ROUNDS = 3
 _ORDER = np.argsort(tv.mix(np.arange(BUCKETS * BUCKETS, dtype=np.uint64) + np.uint64(1)).reshape(BUCKETS, BUCKETS), axis=1)
 
 
@@ -129,12 +133,30 @@ def _near(a: str, b: str, percent: int) -> Column:
     return (differ <= most) & (100 * F.least(na, nb) >= percent * F.greatest(na, nb))
 
 
-def confirm(pairs: DataFrame, documents: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough."""
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    text = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+def texts_of(documents: DataFrame, ids: DataFrame) -> DataFrame:
+    """doc_id and text of these ids, written down.
+
+    A bitmap of the ids, bounded in size, thins the scan, so that about the
+    texts asked for are shuffled to the exact join and not all of them.
+    """
+    hashed = ids.select(F.xxhash64("doc_id").alias("h"))
+    known = documents.sparkSession.sparkContext.broadcast(bitmaps.build(hashed, ids.count()))
+
+    def thin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = known.value.has(batch.column("h").to_numpy(zero_copy_only=False).view(np.uint64))
+            yield batch.select(["doc_id", "text"]).filter(pa.array(found))
+
+    text = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.xxhash64(F.col("doc_id").cast("long")).alias("h"))
+    some = text.where("doc_id is not null").mapInArrow(thin, "doc_id long, text string")
     # rows that repeat a doc_id count as one document
-    held = materialize(text.join(ids, "doc_id", "left_semi"), "neardup-texts").dropDuplicates(["doc_id"])
+    return materialize(some.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "neardup-texts")
+
+
+def confirm(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full sets are similar enough; texts must hold both ends."""
+    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+    held = texts.join(ids, "doc_id", "left_semi")
     ta, tb = held.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), held.select(F.col("doc_id").alias("b"), F.col("text").alias("tb"))
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,22 +191,35 @@ def near_duplicates(documents: DataFrame, shingle: int = SHINGLE, percent: int =
         x, y = facts.alias("x"), facts.alias("y")
         return pairs.join(x, F.col("b") == F.col("x.doc_id")).join(y, F.col("a") == F.col("y.doc_id")).where(_near("x", "y", percent)).select("a", "b")
 
-    first = materialize(plausible(crowd.where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()), "neardup-pairs")
-    links = confirm(first, documents, shingle, percent)
+    texts = texts_of(documents, materialize(crowd.select(F.col("rep").alias("doc_id")).distinct(), "neardup-ids"))
+    tried = materialize(plausible(crowd.where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()), "neardup-pairs")
+    links = confirm(tried, texts, shingle, percent)
     part = connected_components(links, "a", "b")
 
-    # groups that still hold several components
-    marked = crowd.select("key", "rep").join(part.select(F.col("id").alias("rep"), "component"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("comp"))
-    open_keys = marked.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-    inside = marked.join(open_keys, "key", "left_semi")
-    detail = materialize(inside.join(facts.withColumnRenamed("doc_id", "rep"), "rep"), "neardup-open")
-    largest = detail.groupBy("key", "comp").count().groupBy("key").agg(F.max_by("comp", "count").alias("major"))
-    minor = detail.join(largest, "key").where("comp <> major").drop("major")
-    x, y = minor.alias("x"), detail.alias("y")
-    cross = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.comp") != F.col("y.comp")) & _near("x", "y", percent))
-    second = cross.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
-    more = confirm(materialize(second, "neardup-pairs"), documents, shingle, percent)
-    part = connected_components(links.union(more), "a", "b")
+    for turn in range(ROUNDS + 1):
+        # groups that still hold several components
+        marked = crowd.select("key", "rep").join(part.select(F.col("id").alias("rep"), "component"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("comp"))
+        open_keys = marked.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
+        inside = materialize(marked.join(open_keys, "key", "left_semi"), "neardup-open")
+        if turn < ROUNDS:
+            degree = links.select(F.col("a").alias("rep")).union(links.select("b")).groupBy("rep").agg(F.count(F.lit(1)).alias("degree"))
+            ranked = inside.join(degree, "rep", "left").withColumn("o", F.coalesce("degree", F.lit(0)) + F.pmod(F.xxhash64("rep", F.lit(turn)), F.lit(1 << 20)) / F.lit(float(1 << 21)))
+            hubs = ranked.groupBy("key").agg(F.max_by("rep", "o").alias("hub"), F.max_by("comp", "o").alias("hub_comp"))
+            pairs = inside.join(hubs, "key").where("comp <> hub_comp").select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b"))
+            fresh = plausible(pairs.distinct().join(tried, ["a", "b"], "left_anti"))
+        else:
+            detail = inside.join(facts.withColumnRenamed("doc_id", "rep"), "rep")
+            largest = inside.groupBy("key", "comp").count().groupBy("key").agg(F.max_by("comp", "count").alias("major"))
+            x, y = detail.join(largest, "key").where("comp <> major").drop("major").alias("x"), detail.alias("y")
+            cross = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.comp") != F.col("y.comp")) & _near("x", "y", percent))
+            fresh = cross.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
+        fresh = materialize(fresh, "neardup-pairs")
+        if fresh.isEmpty():
+            continue
+        tried, more = tried.union(fresh), confirm(fresh, texts, shingle, percent)
+        if not more.isEmpty():
+            links = links.union(more)
+            part = connected_components(links, "a", "b")
 
     found = member.join(part.select(F.col("id").alias("rep"), "component"), "rep", "left").select("doc_id", F.col("rep").alias("class_id"), F.coalesce("component", "rep").alias("component_id"))
     return sig.select("doc_id", "n_shingles").join(found, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("component_id", "doc_id").alias("component_id"))
