@@ -8,19 +8,22 @@ removed; windows are judged on the input.
 1. Confirm. Each window elects an anchor, the least of its word n-grams of
    ``GRAM`` words by hash; equal windows elect equal anchors. Anchors are
    counted with pre-aggregation, and those that occur twice enter a bitmap of
-   at most ``MAX_BITS`` bits. Windows with such an anchor are counted by a
+   bounded size. Windows with such an anchor are counted by a
    128-bit hash with their first occurrence; a saturated bitmap only lets more
    windows into this count. Windows counted twice are recurring.
 2. Compile. First occurrences that follow one another make passages. A passage
    is sampled at every ``STEP`` words by a phrase of ``PHRASE`` words, so that
    each of its windows holds a phrase. Phrases, with the hashes of the words
-   around them, are dealt to shards of about ``SHARD`` phrases; a shard is
-   broadcast, and its automaton is built where it is used. Words are spelled
-   with three letters each, so a phrase has a fixed length.
-3. Stream. Every document is read once; stretches of windows that can recur are
-   streamed through all automata. A located phrase is compared word by word
-   with its surroundings; windows inside the agreement are repeats unless they
-   are the first occurrence itself.
+   around them, are dealt to shards of about ``SHARD`` phrases; each shard is a
+   broadcast of bounded size. Words are spelled with two letters each, so a
+   phrase has a fixed length.
+3. Stream. Every document is read once, in groups of about ``GROUP_BYTES``. Of
+   each shard, the phrases whose hash is in a bitmap of the group's own phrases
+   are compiled, so an automaton is bounded by the text that it will read, and
+   a shard that has nothing for a group costs one pass over its hashes. The
+   stretches of windows that can recur are streamed through all automata. A
+   located phrase is compared word by word with its surroundings; windows
+   inside the agreement are repeats unless they are the first occurrence itself.
 
 Null, empty and shorter texts have no windows and keep their words; rows that
 repeat a doc_id with the same text are one occurrence (nothing is removed on
@@ -31,7 +34,6 @@ defined; an empty table gives no rows; only ``doc_id`` and ``text`` are read.
 from __future__ import annotations
 
 import hashlib
-import uuid
 from collections.abc import Iterator
 
 import ahocorasick
@@ -41,16 +43,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import materialize, read_table
+from . import bitmap as bitmaps
 from . import textvec as tv
 
 WINDOW, GRAM = 20, 9
-PHRASE = 5
+PHRASE = 4
 STEP = WINDOW - PHRASE + 1
 REACH = WINDOW - PHRASE
-MIN_BITS, MAX_BITS = 1 << 20, 1 << 29
-SHARD = 100_000
+SHARD = 50_000
 GROUP_BYTES = 48 << 20
-LETTERS, FIRST_LETTER, GAP_LETTER = 3, 48, 33
+LETTERS, FIRST_LETTER, GAP_LETTER = 2, 48, 33
+LOCAL_BITS = 1 << 24
 
 
 def window_anchors(w: tv.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -76,31 +79,6 @@ def window_anchors(w: tv.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return starts, place[starts], grams
 
 
-class Bitmap:
-    """Hashes that may recur; false answers only cost work."""
-
-    def __init__(self, bits: np.ndarray):
-        self.bits, self.mask = bits, np.uint64(len(bits) * 8 - 1)
-
-    def has(self, hashes: np.ndarray) -> np.ndarray:
-        found = np.ones(len(hashes), bool)
-        for at in (hashes & self.mask, (hashes >> np.uint64(29)) & self.mask):
-            found &= (self.bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
-        return found
-
-
-def _bitmap(hot: DataFrame, count: int) -> Bitmap:
-    size = MIN_BITS
-    while size < MAX_BITS and size < 16 * count:
-        size *= 2
-    at = F.explode(F.array(F.col("h").bitwiseAND(F.lit(size - 1)), F.shiftrightunsigned("h", 29).bitwiseAND(F.lit(size - 1))))
-    pages = hot.select(at.alias("i")).groupBy(F.shiftright("i", 15).alias("page")).agg(F.bitmap_construct_agg(F.col("i").bitwiseAND(F.lit(32767))).alias("bits"))
-    out = np.zeros(size // 8, np.uint8)
-    for row in pages.collect():  # at most MAX_BITS bits in all
-        out[row["page"] * 4096 : (row["page"] + 1) * 4096] = np.frombuffer(row["bits"], np.uint8)
-    return Bitmap(out)
-
-
 def _anchors(source: DataFrame) -> DataFrame:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in tv.slices(batches):
@@ -147,9 +125,14 @@ def _recurring(source: DataFrame, bitmap) -> DataFrame:
 
 
 def spell(hashes: np.ndarray) -> np.ndarray:
-    """Three letters of six bits for each word, as rows of bytes."""
-    shifts = np.array([58, 52, 46], np.uint64)
-    return ((hashes[:, None] >> shifts) & np.uint64(63)).astype(np.uint8) + np.uint8(FIRST_LETTER)
+    """Two letters of seven bits for each word, as rows of bytes."""
+    shifts = np.array([57, 50], np.uint64)
+    return ((hashes[:, None] >> shifts) & np.uint64(127)).astype(np.uint8) + np.uint8(FIRST_LETTER)
+
+
+def phrase_codes(letters: np.ndarray) -> np.ndarray:
+    """Places in a local bitmap of the phrases at each row of letters (n x PHRASE*LETTERS)."""
+    return (tv.mix(np.ascontiguousarray(letters).view(np.uint64).ravel()) & np.uint64(LOCAL_BITS - 1)).astype(np.int64)
 
 
 TILE = "doc long, at long, left int, right int, phrase binary, around binary"
@@ -205,30 +188,39 @@ def _rows(table: np.ndarray) -> pa.Array:
 
 
 class Shard:
-    """Phrases with equal letters share an entry; each has its own surroundings."""
+    """A bounded part of the phrases with their surroundings."""
 
     def __init__(self, tiles: pa.Table):
-        letters = np.frombuffer(b"".join(tiles["phrase"].to_pylist()), f"S{PHRASE * LETTERS}")
-        order = np.argsort(letters, kind="stable")
-        self.keys, first = np.unique(letters[order], return_index=True)
-        self.first = np.append(first, len(letters))
-        take = lambda name: tiles[name].to_numpy()[order]
-        self.doc, self.at, self.left, self.right = take("doc"), take("at"), take("left"), take("right")
-        self.around = np.frombuffer(b"".join(tiles["around"].to_pylist()), np.uint64).reshape(-1, PHRASE + 2 * REACH)[order]
+        self.letters = np.frombuffer(b"".join(tiles["phrase"].to_pylist()), np.uint8).reshape(-1, PHRASE * LETTERS)
+        self.codes = phrase_codes(self.letters).astype(np.int32)
+        self.doc, self.at, self.left, self.right = (tiles[name].to_numpy() for name in ("doc", "at", "left", "right"))
+        self.around = np.frombuffer(b"".join(tiles["around"].to_pylist()), np.uint64).reshape(-1, PHRASE + 2 * REACH)
+
+    def compiled(self, local: np.ndarray) -> Compiled | None:
+        """The phrases that may occur in a group of texts, given its bitmap."""
+        keep = np.flatnonzero(local[self.codes])
+        return Compiled(self, keep) if len(keep) else None
 
-    def automaton(self) -> ahocorasick.Automaton:
-        machine = ahocorasick.Automaton(ahocorasick.STORE_INTS)
-        for k, key in enumerate(self.keys.tolist()):
-            machine.add_word(key.decode("ascii"), k)
-        if len(self.keys):
-            machine.make_automaton()
-        return machine
+
+class Compiled:
+    """An automaton over some phrases of a shard; equal phrases share an entry."""
+
+    def __init__(self, shard: Shard, keep: np.ndarray):
+        letters = np.ascontiguousarray(shard.letters[keep]).view(f"S{PHRASE * LETTERS}").ravel()
+        order = np.argsort(letters, kind="stable")
+        keys, first = np.unique(letters[order], return_index=True)
+        self.first, keep = np.append(first, len(letters)), keep[order]
+        self.doc, self.at, self.left, self.right, self.around = shard.doc[keep], shard.at[keep], shard.left[keep], shard.right[keep], shard.around[keep]
+        self.machine = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+        for k, key in enumerate(keys.tolist()):
+            self.machine.add_word(key.decode("latin-1"), k)
+        self.machine.make_automaton()
 
 
 class Stretches:
     """Of a slice, the words of stretches that may recur, spelled for the automata."""
 
-    def __init__(self, part: pa.RecordBatch, bitmap: Bitmap):
+    def __init__(self, part: pa.RecordBatch, bitmap: bitmaps.Bitmap):
         self.part = part
         w = tv.words(*tv.utf8(part.column("text")))
         self.hash, self.first = w.hash, w.first
@@ -246,13 +238,18 @@ class Stretches:
         self.place[slot] = at
         letters = np.full((len(self.place), LETTERS), GAP_LETTER, np.uint8)
         letters[slot] = spell(w.hash[at])
-        self.text = letters.tobytes().decode("ascii")
+        self.letters = letters
+        self.text = letters.tobytes().decode("latin-1")
         self.repeat = np.zeros(len(w.hash) + 1, np.int64)
 
-    def stream(self, shard: Shard, machine: ahocorasick.Automaton) -> None:
-        if not len(shard.keys):
-            return
-        hits = list(machine.iter(self.text))
+    def mark(self, local: np.ndarray) -> None:
+        """Enters the phrases of the stretches into the group's bitmap."""
+        flat = self.letters.ravel()
+        if len(self.letters) >= PHRASE:
+            local[phrase_codes(np.lib.stride_tricks.sliding_window_view(flat, PHRASE * LETTERS)[::LETTERS])] = True
+
+    def stream(self, shard: Compiled) -> None:
+        hits = list(shard.machine.iter(self.text))
         if not hits:
             return
         end, key = np.array(hits, np.int64).T
@@ -266,7 +263,7 @@ class Stretches:
         for k in range(0, len(at), 20_000):
             self._compare(shard, at[k : k + 20_000], tile[k : k + 20_000], ids)
 
-    def _compare(self, shard: Shard, at: np.ndarray, tile: np.ndarray, ids: np.ndarray) -> None:
+    def _compare(self, shard: Compiled, at: np.ndarray, tile: np.ndarray, ids: np.ndarray) -> None:
         row = np.searchsorted(self.first, at, side="right") - 1
         same = self.hash[np.clip(at[:, None] + np.arange(-REACH, PHRASE + REACH), 0, len(self.hash) - 1)] == shard.around[tile]
         run = lambda m: np.where(m.all(1), m.shape[1], m.argmin(1))
@@ -278,15 +275,10 @@ class Stretches:
         np.add.at(self.repeat, at[good] + PHRASE + right[good], -1)
 
 
-_machines: dict[tuple[str, int], ahocorasick.Automaton] = {}
-
-
-def _machine(run: str, k: int, shard: Shard) -> ahocorasick.Automaton:
-    """The automaton of a run's shard; a worker holds one at a time."""
-    if (run, k) not in _machines:
-        _machines.clear()
-        _machines[run, k] = shard.automaton()
-    return _machines[run, k]
+def _fresh(shared) -> Shard:
+    """A broadcast's value, loaded without being kept by the worker."""
+    path = getattr(shared, "_path", None)
+    return shared.load_from_path(path) if path else shared.value
 
 
 def remove_repeats(documents: DataFrame, with_text: bool = True) -> DataFrame:
@@ -296,20 +288,20 @@ def remove_repeats(documents: DataFrame, with_text: bool = True) -> DataFrame:
     source = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     keyed = source.where("doc_id is not null")
     hot = materialize(_anchors(keyed).groupBy("h").count().where("count > 1").select("h"), "repeat-anchors")
-    bitmap = spark.sparkContext.broadcast(_bitmap(hot, hot.count()))
+    bitmap = spark.sparkContext.broadcast(bitmaps.build(hot, hot.count()))
     firsts = materialize(_recurring(keyed, bitmap), "repeat-firsts")
     tiles = materialize(_tiles(keyed, firsts), "repeat-phrases")
     n = max(1, -(-tiles.count() // SHARD))
     shards = [spark.sparkContext.broadcast(Shard((tiles if n == 1 else tiles.where(F.pmod(F.xxhash64("phrase"), F.lit(n)) == k)).toArrow())) for k in range(n)]
 
-    run = uuid.uuid4().hex
-
     def finish(held: list[Stretches]) -> Iterator[pa.RecordBatch]:
-        for k, shared in enumerate(shards):
-            if any(len(x.place) > 1 for x in held):
-                machine = _machine(run, k, shared.value)
+        local = np.zeros(LOCAL_BITS, bool)
+        for x in held:
+            x.mark(local)
+        for shared in shards if local.any() else ():
+            if compiled := _fresh(shared).compiled(local):
                 for x in held:
-                    x.stream(shared.value, machine)
+                    x.stream(compiled)
         for x in held:
             gone = np.cumsum(x.repeat[:-1]) > 0
             buf, offsets = tv.utf8(x.part.column("text"))
