@@ -14,11 +14,16 @@ components pair their members with the member that has most links so far.
 Last, what is left is paired across components, the largest component of a
 group being left out on one side. So a group of n linked copies costs a few n
 pairs, and no pair of a group is skipped unless its ends are already joined.
-Before a pair is confirmed its
-Jaccard index is estimated from one mantissa bit per register, corrected for
-the half of unequal registers whose bits agree by chance; the estimate must
-reach ``ESTIMATE``, 7 standard deviations below the threshold. Confirmation
-recomputes both sets from the whole texts.
+Before a pair is confirmed, the buckets are counted that certainly differ:
+filled in one set only, or in both with least values of unequal mantissa bits.
+Each holds a shingle that one set lacks, so a pair with more of them than the
+threshold lets shingles differ is no link, whatever the sizes. Where both sets
+have ``ESTIMATED`` shingles or more, the Jaccard index is also estimated from
+the filled buckets, corrected for the half of unequal ones whose bits agree by
+chance; the estimate must reach ``ESTIMATE``, 7 standard deviations below the
+threshold. Registers that empty buckets borrow count in neither: a small set
+borrows all of them from few values. Confirmation recomputes both sets from the
+whole texts.
 
 Banding is probabilistic: a pair at the threshold of 0.8 is missed with
 probability (1 - 0.8**6)**42 = 3e-6, one at 0.9 with 2e-14.
@@ -47,7 +52,7 @@ SHINGLE, PERCENT = 5, 80
 BUCKET_BITS, MANTISSA = 8, 10
 BUCKETS = 1 << BUCKET_BITS
 BANDS, ROWS = 42, 6
-ESTIMATE = 0.53
+ESTIMATE, ESTIMATED = 0.53, 64
 ROUNDS = 3
 _ORDER = np.argsort(tv.mix(np.arange(BUCKETS * BUCKETS, dtype=np.uint64) + np.uint64(1)).reshape(BUCKETS, BUCKETS), axis=1)
 
@@ -76,11 +81,23 @@ class Sets:
         return self.values[self.first[row] : self.first[row + 1]]
 
 
+def places(sets: Sets) -> np.ndarray:
+    """Row and bucket of each value as one number."""
+    return sets.rows * BUCKETS + (sets.values >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
+
+
+def filled(sets: Sets) -> np.ndarray:
+    """Which buckets hold a value of their own."""
+    out = np.zeros((len(sets.first) - 1, BUCKETS), bool)
+    out.ravel()[places(sets)] = True
+    return out
+
+
 def registers(sets: Sets) -> np.ndarray:
     """Leading zeros plus 1 and mantissa of each bucket's least value, as 16 bits."""
     n = len(sets.first) - 1
     out = np.zeros((n, BUCKETS), np.uint16)
-    place = sets.rows * BUCKETS + (sets.values >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
+    place = places(sets)
     first = np.ones(len(place), bool)
     first[1:] = place[1:] != place[:-1]  # values are sorted, so the first of a bucket is its least
     low = (sets.values[first] << np.uint64(BUCKET_BITS)) >> np.uint64(11)  # 53 bits
@@ -101,11 +118,11 @@ def registers(sets: Sets) -> np.ndarray:
     return out
 
 
-SIGNATURE = "doc_id long, n_shingles long, k1 long, k2 long, registers binary, s0 long, s1 long, s2 long, s3 long"
+SIGNATURE = "doc_id long, n_shingles long, k1 long, k2 long, registers binary, s0 long, s1 long, s2 long, s3 long, f0 long, f1 long, f2 long, f3 long"
 
 
 def signatures(documents: DataFrame, shingle: int) -> DataFrame:
-    """Set size, two hashes of the set, the registers, and one mantissa bit of each as four longs."""
+    """Set size, two hashes of the set, the registers, and one mantissa bit of each as four longs, and the filled buckets."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in tv.slices(batches):
@@ -115,9 +132,10 @@ def signatures(documents: DataFrame, shingle: int) -> DataFrame:
             acc2 = np.concatenate((np.zeros(1, np.uint64), np.cumsum(tv.mix(sets.values ^ np.uint64(tv.BASE2)))))
             total = lambda x: (x[sets.first[1:]] - x[sets.first[:-1]]).view(np.int64)  # noqa: E731, B023
             bits = np.packbits((reg & 1).astype(bool), axis=1).view(np.int64)
+            own = np.packbits(filled(sets), axis=1).view(np.int64)
             raw = pa.FixedSizeBinaryArray.from_buffers(pa.binary(2 * BUCKETS), len(reg), [None, pa.py_buffer(reg.tobytes())]).cast(pa.binary())
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), pa.array(np.diff(sets.first)), pa.array(total(acc)), pa.array(total(acc2)), raw, *(pa.array(bits[:, k]) for k in range(4))],
+                [part.column("doc_id"), pa.array(np.diff(sets.first)), pa.array(total(acc)), pa.array(total(acc2)), raw, *(pa.array(x[:, k]) for x in (bits, own) for k in range(4))],
                 names=[x.split()[0] for x in SIGNATURE.split(", ")],
             )
 
@@ -126,11 +144,15 @@ def signatures(documents: DataFrame, shingle: int) -> DataFrame:
 
 
 def _near(a: str, b: str, percent: int) -> Column:
-    """Whether set sizes and the estimate allow the threshold."""
-    differ = sum((F.bit_count(F.col(f"{a}.s{k}").bitwiseXOR(F.col(f"{b}.s{k}"))) for k in range(4)), F.lit(0))
-    most = int(BUCKETS * (1 - min(ESTIMATE, percent / 100 - 0.27)) / 2)
+    """Whether set sizes, the buckets that certainly differ and the estimate allow the threshold."""
+    count = lambda bits: sum((F.bit_count(bits(*(F.col(f"{t}.{c}{k}") for c in "sf" for t in (a, b)))) for k in range(4)), F.lit(0))
+    lone = count(lambda sa, sb, fa, fb: fa.bitwiseXOR(fb))
+    unlike = count(lambda sa, sb, fa, fb: sa.bitwiseXOR(sb).bitwiseAND(fa).bitwiseAND(fb))
+    either = count(lambda sa, sb, fa, fb: fa.bitwiseOR(fb))
     na, nb = F.col(f"{a}.n_shingles"), F.col(f"{b}.n_shingles")
-    return (differ <= most) & (100 * F.least(na, nb) >= percent * F.greatest(na, nb))
+    possible = (100 + percent) * (lone + unlike) <= (100 - percent) * (na + nb)
+    likely = (F.least(na, nb) < ESTIMATED) | (lone + 2 * unlike <= (1 - min(ESTIMATE, percent / 100 - 0.27)) * either)
+    return (100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & possible & likely
 
 
 def texts_of(documents: DataFrame, ids: DataFrame) -> DataFrame:
@@ -179,7 +201,7 @@ def near_duplicates(documents: DataFrame, shingle: int = SHINGLE, percent: int =
     filled = sig.where("n_shingles > 0")
     classes = filled.groupBy("k1", "k2", "n_shingles").agg(F.min("doc_id").alias("rep"))
     member = materialize(filled.select("doc_id", "n_shingles", "k1", "k2").join(classes, ["k1", "k2", "n_shingles"]).select("doc_id", "rep"), "neardup-class").distinct()
-    sketch = ["n_shingles", "s0", "s1", "s2", "s3"]
+    sketch = ["n_shingles", *(f"{c}{k}" for c in "sf" for k in range(4))]
     reps = filled.join(member.where("doc_id = rep").select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     keys = F.array(*[F.xxhash64(F.substring("registers", 1 + 2 * ROWS * k, 2 * ROWS), F.lit(k)) for k in range(BANDS)])
     rows = reps.select(F.col("doc_id").alias("rep"), F.explode(keys).alias("key"))
