@@ -203,11 +203,12 @@ def translation_table(code: int = 1, mark_starts: bool = True) -> dict[str, str]
 def translate(seq: Column, frame: int = 1, code: int = 1, mark_starts: bool = True) -> Column:
     """Protein of one frame (1..3, or -1..-3 on the reverse complement).
 
-    White space goes and U becomes T; an unknown codon is X; the tail is dropped.
+    White space goes and U becomes T; a-z become A-Z, so other letters keep their place; an
+    unknown codon is X; the tail is dropped.
     """
     if frame not in (1, 2, 3, -1, -2, -3):
         raise ValueError(f"no frame {frame}")
-    clean = F.translate(F.upper(F.regexp_replace(seq, r"\s+", "")), "U", "T")
+    clean = F.translate(upper_ascii(F.regexp_replace(seq, r"\s+", "")), "U", "T")
     strand = clean if frame > 0 else revcomp(clean)
     table = F.create_map(*[F.lit(x) for pair in translation_table(code, mark_starts).items() for x in pair])
     return F.array_join(F.transform(codons(F.substr(strand, F.lit(abs(frame)))), lambda c: F.coalesce(F.element_at(table, c), F.lit("X"))), "")
@@ -242,7 +243,7 @@ def orfs(protein: Column, mode: int = 1, least: int = 16) -> Column:
 
 def codon_usage(seq: Column) -> Column:
     """Map from codon to its share in frame 1; codons with N are left out."""
-    kept = F.filter(codons(F.upper(seq)), lambda c: ~c.contains("N"))
+    kept = F.filter(codons(upper_ascii(seq)), lambda c: ~c.contains("N"))
     share = lambda all_: F.transform(F.array_sort(F.array_distinct(all_)), lambda c: F.struct(c.alias("key"), (F.size(F.filter(all_, lambda x: x == c)) / F.size(all_)).alias("value")))
     return F.map_from_entries(_bound(kept, share))
 

@@ -26,10 +26,6 @@ def _docs(spark: SparkSession, d: str) -> DataFrame:
     return read_table(spark, d, "documents").select("doc_id", "text", "lang", "source", "n_chars")
 
 
-def _ascii(spark: SparkSession, d: str) -> DataFrame:
-    return _docs(spark, d).where(F.octet_length("text") == F.char_length("text"))
-
-
 _CALC = "SELECT cast(doc_id AS VARCHAR) AS header, strlen(text) AS length, len(regexp_extract_all(text, '[GgCc]')) / nullif(length(text), 0) AS gc, len(regexp_extract_all(text, '[Nn]')) AS n_count, md5(text) AS hash FROM documents"
 
 
@@ -65,7 +61,7 @@ _RC = "translate(reverse(upper(text)), 'ACGTURYSWKMBDHVN', 'TGCAAYRSWMKVHDBN')"
 
 @query(f"SELECT doc_id, md5({_RC}) AS rc FROM documents WHERE strlen(text) = length(text)")
 def revcomp(spark, d):
-    return _ascii(spark, d).select("doc_id", F.md5(sq.revcomp(F.upper("text"))).alias("rc"))
+    return _docs(spark, d).select("doc_id", F.md5(sq.revcomp(sq.upper_ascii(F.col("text")))).alias("rc"))
 
 
 def _map(code=1):
@@ -81,7 +77,7 @@ def _protein(strand: str, frame: int) -> str:
 
 @query(f"WITH s AS (SELECT doc_id, {_CLEAN} AS s, {_map()} AS m FROM documents WHERE strlen(text) = length(text)) SELECT doc_id, {_protein('s', 1)} AS protein FROM s")
 def translate_frame(spark, d):
-    return _ascii(spark, d).select("doc_id", sq.translate(F.col("text")).alias("protein"))
+    return _docs(spark, d).select("doc_id", sq.translate(F.col("text")).alias("protein"))
 
 
 _SIX = " UNION ALL ".join(f"SELECT doc_id, cast({f} AS INTEGER) AS frame, md5({_protein('s' if f > 0 else 'r', abs(f))}) AS protein FROM s" for f in sq.FRAMES)
@@ -89,7 +85,7 @@ _SIX = " UNION ALL ".join(f"SELECT doc_id, cast({f} AS INTEGER) AS frame, md5({_
 
 @query(f"WITH c AS (SELECT doc_id, {_CLEAN} AS s, {_map(11)} AS m FROM documents WHERE strlen(text) = length(text)), s AS (SELECT *, translate(reverse(s), 'ACGTURYSWKMBDHVN', 'TGCAAYRSWMKVHDBN') AS r FROM c) {_SIX}")
 def six_frame(spark, d):
-    frames = _ascii(spark, d).select("doc_id", F.explode(sq.six_frames(F.col("text"), 11)).alias("x"))
+    frames = _docs(spark, d).select("doc_id", F.explode(sq.six_frames(F.col("text"), 11)).alias("x"))
     return frames.select("doc_id", "x.frame", F.md5("x.protein").alias("protein"))
 
 
@@ -97,7 +93,7 @@ def six_frame(spark, d):
 p AS (SELECT doc_id, unnest(string_split({_protein('s', 1)}, '*')) AS orf FROM s)
 SELECT doc_id, count(*) AS n_orfs, cast(max(length(orf)) AS BIGINT) AS longest FROM p WHERE length(orf) >= 16 GROUP BY doc_id""")
 def open_reading_frames(spark, d):
-    found = _ascii(spark, d).select("doc_id", F.explode(sq.orfs(sq.translate(F.col("text")), 1, 16)).alias("o"))
+    found = _docs(spark, d).select("doc_id", F.explode(sq.orfs(sq.translate(F.col("text")), 1, 16)).alias("o"))
     return found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_orfs"), F.max(F.char_length("o.protein")).cast("long").alias("longest"))
 
 
@@ -111,7 +107,7 @@ c AS (SELECT doc_id, unnest([substr(s, i + 1, 3) for i in range(0, length(s) - 2
 n AS (SELECT doc_id, codon, count(*) AS n FROM c WHERE NOT contains(codon, 'N') GROUP BY ALL)
 SELECT doc_id, count(*) AS codons, round(max(n) / sum(n), 6) AS top_share FROM n GROUP BY doc_id""")
 def codon_usage(spark, d):
-    usage = _ascii(spark, d).select("doc_id", sq.codon_usage(F.col("text")).alias("u")).where(F.size("u") > 0)
+    usage = _docs(spark, d).select("doc_id", sq.codon_usage(F.col("text")).alias("u")).where(F.size("u") > 0)
     return usage.select("doc_id", F.size("u").cast("long").alias("codons"), F.round(F.array_max(F.map_values("u")), 6).alias("top_share"))
 
 
@@ -188,7 +184,7 @@ def dedup_ignorecase(spark, d):
 
 @query(_FIRST.format(key=f"least(upper(text), {_RC})", where="WHERE strlen(text) = length(text)"))
 def dedup_revcomp(spark, d):
-    return tables.deduplicate(_ascii(spark, d), tables.dedup_key("seq", "doc_id", "text", revcomp=True), ["doc_id"]).select("doc_id")
+    return tables.deduplicate(_docs(spark, d), tables.dedup_key("seq", "doc_id", "text", revcomp=True), ["doc_id"]).select("doc_id")
 
 
 @query("SELECT md5(coalesce(text, '')) AS hash, count(*) AS count, string_agg(doc_id, ',' ORDER BY doc_id) AS ids FROM documents GROUP BY 1 HAVING count(*) > 1")
