@@ -27,11 +27,11 @@ def signatures(df: DataFrame, id_: str, seq: str, least: int, most: int, strand:
     """Ends of each sequence as motifs of ``least`` characters, with up to ``most`` for later extension.
 
     On the minus strand, the ends of the reverse complement are turned back
-    into reading direction and swap their names.
+    into reading direction and swap their names. Lengths are in characters.
     """
     if strand not in ("plus", "minus", "both"):
         raise ValueError(f"no strand {strand!r}")
-    base = df.select(F.col(id_).alias("contig_id"), F.col(seq).alias("s"), F.octet_length(seq).alias("n")).where(F.col("n") >= least)
+    base = df.select(F.col(id_).alias("contig_id"), F.col(seq).alias("s"), F.char_length(seq).alias("n")).where(F.col("n") >= least)
     parts = []
     for plus in [True] * (strand != "minus") + [False] * (strand != "plus"):
         side = base if plus else base.withColumn("s", sq.revcomp(F.col("s")))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import sequence as sq
 from ..operators import candidates, clusters, correlate, motifs, taxonomy, termini
 from ..operators.components import connected_components
 from ..session import read_table
@@ -142,7 +143,7 @@ _SIG = _ENDS.replace("sig AS", "e AS (SELECT doc_id, translate(reverse(s), 'ACGT
 
 
 def _signatures(spark, d, most=6):
-    docs = read_table(spark, d, "documents").where(F.octet_length("text") == F.char_length("text")).select("doc_id", F.upper("text").alias("s"))
+    docs = read_table(spark, d, "documents").select("doc_id", sq.upper_ascii(F.col("text")).alias("s"))
     return termini.signatures(docs, "doc_id", "s", 6, most)
 
 
