@@ -228,7 +228,7 @@ def taxonomy_nearest_ancestor(spark, d):
 
 @query(f"WITH RECURSIVE {_TREE}, s AS (SELECT DISTINCT o_orderpriority || (o_orderkey % 200) AS set_id, 100000 + o_custkey AS tax_id FROM orders WHERE o_orderkey % 5 = 0), z AS (SELECT set_id, count(*) AS n FROM s GROUP BY 1), h AS (SELECT set_id, anc, count(*) AS k, sum(dist) AS far FROM s JOIN cl USING (tax_id) GROUP BY ALL) SELECT set_id, arg_min(anc, far) AS lca FROM h JOIN z USING (set_id) WHERE k = n GROUP BY set_id")
 def taxonomy_lca(spark, d):
-    sets = read_table(spark, d, "orders").where("o_orderkey % 5 = 0").select(F.concat("o_orderpriority", (F.col("o_orderkey") % 200).cast("string")).alias("set_id"), (F.col("o_custkey") + 100000).alias("tax_id"))
+    sets = read_table(spark, d, "orders").select(F.concat("o_orderpriority", (F.col("o_orderkey") % 200).cast("string")).alias("set_id"), (F.col("o_custkey") + 100000).alias("tax_id"))
     return taxonomy.lowest_common_ancestor(taxonomy.closure(_tree(spark, d)), sets)
 
 
