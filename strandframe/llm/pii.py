@@ -1,7 +1,9 @@
 """Personal data: patterns propose spans, checksums confirm them, context scores them.
 
 Kinds ``email``, ``ip``, ``card`` (Luhn) and ``phone`` are the base; ``iban``
-(ISO 13616, confirmed by mod-97) is added. Each span has a score: a base per
+(ISO 13616, confirmed by mod-97) is added: it may be followed by words that
+look like more of it, so it has its country's length, or where that is not
+known ends at the last word border, of 15 to 34 characters, that passes. Each span has a score: a base per
 kind, raised where a context word stands within 40 characters before it. The
 score never removes a base span. Positions are code points, end exclusive.
 
@@ -29,6 +31,11 @@ _IP = re.compile(r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
+#: Lengths by country code, from the ISO 13616 registry.
+_LENGTHS = {c[:2]: int(c[2:]) for c in (
+    "AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DK18 DO28 EE20 EG29 ES24 FI18 FO18 FR27 GB22 GE22 GI23 GL18 GR27 GT28 HR21 HU28 IE22 IL23 IQ23 IS26 IT27 JO30 KW30 KZ20 "
+    "LB28 LC32 LI21 LT20 LU20 LV21 LY25 MC27 MD24 ME22 MK19 MR27 MT31 MU30 NL18 NO15 PK24 PL28 PS29 PT25 QA29 RO24 RS22 SA24 SC31 SE24 SI19 SK24 SM27 ST25 SV28 TL23 TN24 TR26 UA29 VA22 VG24 XK20"
+).split()}
 _DIGIT = re.compile(r"[0-9]")
 SCORES = {"email": 0.8, "ip": 0.5, "card": 0.7, "phone": 0.6, "iban": 0.9}
 CONTEXT = {
@@ -71,6 +78,21 @@ def _emails(text: str) -> Iterator[tuple[int, int]]:
         at = text.find("@", max(at + 1, floor))
 
 
+def _ibans(text: str) -> Iterator[tuple[int, int]]:
+    m = _IBAN.search(text)
+    while m:
+        at = m.start() + 4
+        ends = [k for k in range(m.end() - m.start(), 0, -1) if k == m.end() - m.start() or m[0][k] == " "]
+        codes = [(k, m[0][:k].replace(" ", "")) for k in ends]
+        known = _LENGTHS.get(m[0][:2])
+        for k, code in codes:
+            if (len(code) == known if known else 15 <= len(code) <= 34) and mod97(code):
+                at = m.start() + k
+                yield m.start(), at
+                break
+        m = _IBAN.search(text, at)
+
+
 def _small(part: str) -> bool:
     part = part.lstrip("0")
     return len(part) <= 3 and int(part or 0) <= 255
@@ -92,10 +114,7 @@ def find_spans(text: str | None) -> list[tuple[int, int, str, float]]:
                     found.append((m.start(), 2, m.end()))
         if "+" in text:
             found += [(m.start(), 3, m.end()) for m in _PHONE.finditer(text) if 9 <= len(re.sub(r"[^0-9]", "", m[0])) <= 15]
-        for m in _IBAN.finditer(text):
-            code = m[0].replace(" ", "")
-            if len(code) <= 34 and mod97(code):
-                found.append((m.start(), 4, m.end()))
+        found += [(s, 4, e) for s, e in _ibans(text)]
     out = []
     for s, k, e in sorted(found):
         kind = KINDS[k]
