@@ -169,6 +169,16 @@ DIFFERENCES = {
     31: {"TAA": "E", "TAG": "E", "TGA": "W"},
     32: {"TAG": "W"},
     33: {"TAA": "Y", "AGA": "S", "AGG": "K", "TGA": "W"},
+    # generic codes by their stops, which are not NCBI's
+    666: {"TAA": "1", "TAG": "2", "TGA": "3"},
+    6000: {"TAA": "Q", "TAG": "Q", "TGA": "W"},
+    7001: {"TAG": "Q", "TGA": "W"},
+    7010: {"TAA": "Q", "TGA": "W"},
+    7100: {"TAA": "Q", "TAG": "Q"},
+    8011: {"TGA": "W"},
+    8101: {"TAG": "Q"},
+    8110: {"TAA": "Q"},
+    9111: {},
 }
 STARTS = {
     1: ["TTG", "CTG", "ATG"],
@@ -186,6 +196,8 @@ STARTS = {
     25: ["TTG", "ATG", "GTG"],
     26: ["CTG", "ATG"],
     33: ["TTG", "CTG", "ATG", "GTG"],
+    666: ["TTG", "CTG", "ATG"],
+    **dict.fromkeys((6000, 7001, 7010, 7100, 8011, 8101, 8110, 9111), ["TTG", "CTG", "ATT", "ATC", "ATA", "ATG", "GTG"]),
 }
 
 
