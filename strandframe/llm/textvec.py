@@ -1,12 +1,17 @@
 """Vectorised tokenising and hashing of UTF-8 text held in Arrow buffers.
 
 Every text of a slice is scanned as one byte array: word borders come from a
-256-entry table, and a word's 64-bit hash is the difference of two entries of
-a running polynomial sum. No Python object is made per word.
+256-entry table. A word's 64-bit hash is the mixed sum of one random number for
+each byte and its place in the word (tabulation hashing); words of more than
+``PLACES`` bytes are hashed by keyed BLAKE2b. Neither has the structural
+collisions of a polynomial modulo 2**64. Phrases of words are hashed by
+doubling, each step mixed. No Python object is made per word, long ones
+excepted.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -34,22 +39,6 @@ ALNUM = _table([*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *ran
 FOLD = np.arange(256, dtype=np.uint8)
 FOLD[0x41:0x5B] += 0x20
 
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-
-def powers(n: int, base: int = BASE) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and its inverse modulo 2**64, for i < n at least."""
-    have = _powers.get(base)
-    if have is None or len(have[0]) < n:
-        size = 1 << max(16, int(n).bit_length())
-        up = np.full(size, U64(base))
-        up[0] = 1
-        down = np.full(size, U64(pow(base, -1, 1 << 64)))
-        down[0] = 1
-        have = _powers[base] = (np.cumprod(up), np.cumprod(down))
-    return have
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """The finalizer of splitmix64."""
     x = x ^ (x >> U64(30))
@@ -60,6 +49,12 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+#: Bytes of a word that have numbers of their own, and these numbers.
+PLACES = 64
+_NUMBERS = [mix(np.arange(PLACES * 256, dtype=np.uint64) * U64(2) + U64(seed)) for seed in (BASE, BASE2)]
+_KEYS = [seed.to_bytes(8, "little") for seed in (BASE, BASE2)]
+
+
 def slices(batches: Iterable[pa.RecordBatch], column: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cuts batches between rows so that a slice has about ``most`` bytes of text."""
     for batch in batches:
@@ -89,12 +84,13 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class Words:
-    """Words of a slice: byte ranges, hashes, and the first word of each row."""
+    """Words of a slice: byte ranges, hashes, the first word of each row, and second hashes if asked for."""
 
     start: np.ndarray
     end: np.ndarray
     hash: np.ndarray
     first: np.ndarray
+    hash2: np.ndarray | None = None
 
     @property
     def counts(self) -> np.ndarray:
@@ -133,8 +129,9 @@ def _cut(buf: np.ndarray, offsets: np.ndarray, inside: np.ndarray, at: int, most
         end = stop
 
 
-def words(buf: np.ndarray, offsets: np.ndarray, inside: np.ndarray = SPACED, fold: np.ndarray | None = None) -> Words:
-    starts, ends, hashes = [], [], []
+def words(buf: np.ndarray, offsets: np.ndarray, inside: np.ndarray = SPACED, fold: np.ndarray | None = None, second: bool = False) -> Words:
+    """The words of a slice. ``second`` fills ``Words.hash2`` too, 64 more bits that do not depend on the first."""
+    starts, ends, hashes = [], [], ([], [])
     at, n = 0, len(buf)
     while at < n:
         stop = _cut(buf, offsets, inside, at, PIECE_BYTES)
@@ -149,29 +146,43 @@ def words(buf: np.ndarray, offsets: np.ndarray, inside: np.ndarray = SPACED, fol
         after[-1] = False
         after[:-1] = m[1:]
         after[borders - 1] = False
-        s, e = np.flatnonzero(m & ~before), np.flatnonzero(m & ~after) + 1
-        up, down = powers(len(part) + 1)
-        acc = np.zeros(len(part) + 1, U64)
-        np.cumsum(((part if fold is None else fold[part]).astype(U64) + U64(1)) * up[: len(part)], out=acc[1:])
-        hashes.append(mix((acc[e] - acc[s]) * down[s]))
+        first = m & ~before
+        s, e = np.flatnonzero(first), np.flatnonzero(m & ~after) + 1
+        index = np.arange(len(part), dtype=np.int32)
+        place = np.minimum(index - np.maximum.accumulate(np.where(first, index, 0)), PLACES - 1)
+        seen = part if fold is None else fold[part]
+        entry = (place << 8) | seen
+        long = np.flatnonzero(e - s > PLACES)
+        for k in range(1 + second):
+            acc = np.zeros(len(part) + 1, U64)
+            np.cumsum(_NUMBERS[k][entry], out=acc[1:])
+            own = mix(acc[e] - acc[s])
+            for j in long.tolist():
+                own[j] = int.from_bytes(hashlib.blake2b(seen[s[j] : e[j]], digest_size=8, key=_KEYS[k]).digest(), "little")
+            hashes[k].append(own)
         starts.append(s + at)
         ends.append(e + at)
         at = stop
     start = np.concatenate(starts) if starts else np.zeros(0, np.int64)
     end = np.concatenate(ends) if ends else np.zeros(0, np.int64)
-    hashed = np.concatenate(hashes) if hashes else np.zeros(0, U64)
-    return Words(start, end, hashed, np.searchsorted(start, offsets, side="left"))
+    one, two = (np.concatenate(h) if h else np.zeros(0, U64) for h in hashes)
+    return Words(start, end, one, np.searchsorted(start, offsets, side="left"), two if second else None)
 
 
 def ngrams(hashes: np.ndarray, n: int, base: int = BASE) -> np.ndarray:
     """Hash of the n hashes from each position on; rows are not looked at."""
-    m = len(hashes)
-    if m < n:
+    m = len(hashes) - n + 1
+    if m <= 0:
         return np.zeros(0, U64)
-    up, down = powers(m + 1, base)
-    acc = np.zeros(m + 1, U64)
-    np.cumsum(hashes * up[:m], out=acc[1:])
-    return mix((acc[n:] - acc[:-n]) * down[: m - n + 1])
+    out, done, block, size = None, 0, hashes, 1
+    while True:
+        if n & size:
+            out = block[:m] if out is None else mix(out * U64(base) + block[done : done + m])
+            done += size
+        if done == n:
+            return mix(out ^ U64(base)) if n == 1 else out
+        block = mix(block[:-size] * U64(base) + block[size:])
+        size *= 2
 
 
 def spread(counts: np.ndarray) -> np.ndarray:
