@@ -1,41 +1,85 @@
-"""Connected components of an edge table, by repeated contraction."""
+"""Connected components of an edge table, by contraction and a bounded last step."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialize
+from ..session import discard, materialize
+
+#: Edges that one task solves at once: some tens of megabytes, whatever the input has.
+LOCAL_EDGES = 1 << 20
+
+
+def _solve(edges: DataFrame) -> DataFrame:
+    """(u, f): every vertex of at most LOCAL_EDGES edges (u, v) and the least of its component."""
+    kind = edges.schema["u"].dataType
+
+    def union(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parent: dict = {}
+
+        def root(x):
+            while (up := parent.setdefault(x, x)) != x:
+                parent[x] = parent.setdefault(up, up)
+                x = up
+            return x
+
+        for batch in batches:
+            for u, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                a, b = root(u), root(v)
+                if a != b:
+                    parent[max(a, b)] = min(a, b)
+        ids = list(parent)
+        for k in range(0, len(ids), 1 << 16):
+            part = ids[k : k + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(part, types[0]), pa.array([root(x) for x in part], types[0])], names=["u", "f"])
+
+    types = [pa.int64() if kind.simpleString() == "bigint" else pa.int32() if kind.simpleString() == "int" else pa.string()]
+    return edges.select("u", "v").coalesce(1).mapInArrow(union, f"u {kind.simpleString()}, f {kind.simpleString()}")
 
 
-def connected_components(edges: DataFrame, a: str = "src", b: str = "dst") -> DataFrame:
+def connected_components(edges: DataFrame, a: str = "src", b: str = "dst", local: int = LOCAL_EDGES) -> DataFrame:
     """(id, component) for every vertex that has an edge; component is the least id reachable.
 
-    Each round maps a vertex to the least of itself and its neighbours, follows
-    that map twice more, and contracts the graph along it. Stars vanish in one
-    round and chains shrink by a constant factor, so rounds grow with the
-    logarithm of the longest path. Only the emptiness of the edge table reaches
-    the driver; every round ends in files of the shared folder.
+    While there are more than ``local`` edges, a round maps each vertex to the
+    least of itself and its neighbours, follows that map twice more, and
+    contracts the graph along it: stars vanish in one round and chains shrink
+    by a constant factor. The edges that are left, a bounded number, are solved
+    by union-find in one task, which saves the long tail of small rounds. Only
+    numbers of edges reach the driver; every round ends in files of the shared
+    folder, of which the ones no longer needed are deleted.
 
-    Null ends, self-loops and repeated edges have no effect beyond making their
-    vertex known; an empty table gives no rows.
+    Ends are 32- or 64-bit integers or strings. Null ends, self-loops and
+    repeated edges have no effect beyond making their vertex known; an empty
+    table gives no rows.
     """
     both = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u is not null and v is not null")
-    label = materialize(both.select(F.col("u").alias("id")).union(both.select("v")).distinct().withColumn("component", F.col("id")), "cc-label")
-    links = materialize(both.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "cc-edges")
-    while not links.isEmpty():
-        ends = links.union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        step = ends.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("f"))
-        step = materialize(step, "cc-step")
-        for _ in range(2):
-            up = step.select(F.col("u").alias("f"), F.col("f").alias("g"))
-            step = step.join(up, "f").select("u", F.col("g").alias("f"))
-        step = materialize(step, "cc-step")
+    links = materialize(both.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "cc-edges")
+    if links.count() <= local:
+        return materialize(_solve(links).select(F.col("u").alias("id"), F.col("f").alias("component")), "cc-label")
+    label = links.select(F.col("u").alias("id")).union(links.select("v")).distinct().withColumn("component", F.col("id"))
+    links = links.where("u <> v")
+    while True:
+        last = links.count() <= local
+        if last:
+            step = materialize(_solve(links), "cc-step")
+        else:
+            ends = links.union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
+            near = materialize(ends.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("f")), "cc-near")
+            step = near
+            for _ in range(2):
+                up = near.select(F.col("u").alias("f"), F.col("f").alias("g"))
+                step = step.join(up, "f").select("u", F.col("g").alias("f"))
+            step = materialize(step, "cc-step")
+            discard(near)
         label = materialize(
             label.join(step.withColumnRenamed("u", "component"), "component", "left").select("id", F.coalesce("f", "component").alias("component")),
             "cc-label",
         )
-        left = links.join(step, "u").select(F.col("f").alias("x"), "v")
-        moved = left.join(step.withColumnsRenamed({"u": "v", "f": "y"}), "v").where("x <> y")
+        if last:
+            return label
+        moved = links.join(step, "u").select(F.col("f").alias("x"), "v").join(step.withColumnsRenamed({"u": "v", "f": "y"}), "v").where("x <> y")
         links = materialize(moved.select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v")).distinct(), "cc-edges")
-    return label

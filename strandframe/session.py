@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -26,13 +27,16 @@ def local_session(app: str = "strandframe", cores: str = "*", partitions: int =
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share (``spark.checkpoint.dir``).
 
-    Only a session that names none, as in tests, gets a temporary one.
+    Only a session of one machine (a local master), as in tests, may name none
+    and gets a temporary one.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         if spark.sparkContext.getCheckpointDir() is None:
             spark.sparkContext.setCheckpointDir(named)
         return named.rstrip("/")
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     folder = tempfile.mkdtemp(prefix="strandframe-")
     atexit.register(shutil.rmtree, folder, ignore_errors=True)
     spark.conf.set("spark.checkpoint.dir", f"file://{folder}")
@@ -42,11 +46,30 @@ def shared_dir(spark: SparkSession) -> str:
 
 def materialize(df: DataFrame, label: str = "t") -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends here,
-    and a lost executor costs a reread of files, not a recomputation."""
+    and a lost executor costs a reread of files, not a recomputation.
+
+    ``discard`` deletes the files once nothing reads them any more; what a
+    returned lazy result still reads stays until the session's folder goes.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._written = path
+    return table
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Deletes a file or folder of any file system that Spark reaches."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes the files of tables that came from ``materialize`` and are read no more."""
+    for table in tables:
+        if path := getattr(table, "_written", None):
+            delete(table.sparkSession, path)
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
