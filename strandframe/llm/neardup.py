@@ -22,12 +22,13 @@ borrows from the first filled one of an order fixed for it.
 4. Links make components. While a round of hubs links a quarter or more of the
    pairs it tries and leaves more open rows than it tried, crowds that still hold several components are paired with
    a member of their largest one, by an order that changes each round.
-5. What is left open is settled exactly: a lone member whose shingles that
-   nobody else in its crowds has are too many for the threshold is linked with
-   nothing (counted once over all shingles of open crowds, work in proportion
-   to their texts); the others are compared with all members of other
-   components in their crowds, by the bound and estimate of step 3 inside the
-   join, so only pairs that may be links leave it.
+5. What is left open is settled exactly. The shingles that only one member of
+   all open crowds has are counted (work in proportion to their texts); lone
+   members that have too many of them for the threshold are linked with
+   nothing. The others are compared with all members of other components in
+   their crowds, by these counts and by the bound and estimate of step 3 inside
+   the join, so that only pairs that may be links leave it, each from the first
+   band that both share (told by 32 bits of its key: 1e-8 of the pairs are lost).
 
 A group of n linked copies costs a few n pairs. Banding is probabilistic: a
 pair at the threshold of 0.8 is missed with probability (1 - 0.8**6)**42 =
@@ -212,17 +213,8 @@ def confirm(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> D
     return materialize(pairs.join(tb, "b").join(ta, "a").select("a", "b", "ta", "tb").mapInArrow(check, "a long, b long"), "neardup-links")
 
 
-def _lonely(open_: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """Members (rep) without a link outside their component so far whose own shingles rule any out.
-
-    ``open_`` has key, rep, comp and n_shingles of open crowds. A set of n
-    shingles of which u occur in no other member shares at most n - u with one
-    of m shingles or more, so their index is at most (n - u) / (max(m, n - u) + u).
-    """
-    least = open_.groupBy("key").agg(F.min("n_shingles").alias("m"))
-    repeated = texts.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("rep"))
-    single = open_.join(repeated, "rep", "left_anti").join(open_.groupBy("comp").agg(F.min("rep").alias("x"), F.max("rep").alias("y")).where("x = y").select("comp"), "comp", "left_semi")
-    asked = single.join(least, "key").groupBy("rep").agg(F.first("n_shingles").alias("n"), F.min("m").alias("m"))
+def _exclusive(open_: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
+    """(rep, u): how many shingles of a member no other member of any open crowd has; not for doc_ids with several texts."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in tv.slices(batches):
@@ -231,7 +223,20 @@ def _lonely(open_: DataFrame, texts: DataFrame, shingle: int, percent: int) -> D
             yield pa.RecordBatch.from_arrays([pa.array(sets.values.view(np.int64)), pa.array(ids[sets.rows])], names=["h", "rep"])
 
     held = texts.join(open_.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").mapInArrow(scan, "h long, rep long")
-    own = held.groupBy("h").agg(F.min("rep").alias("rep"), F.max("rep").alias("other")).where("rep = other").groupBy("rep").agg(F.count(F.lit(1)).alias("u"))
+    alone = held.groupBy("h").agg(F.min("rep").alias("rep"), F.max("rep").alias("other")).where("rep = other")
+    repeated = texts.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("rep"))
+    return materialize(alone.groupBy("rep").agg(F.count(F.lit(1)).alias("u")).join(repeated, "rep", "left_anti"), "neardup-own")
+
+
+def _lonely(open_: DataFrame, own: DataFrame, percent: int) -> DataFrame:
+    """Lone members (rep) whose own shingles rule out any link.
+
+    Of a set of n shingles, u of them its own, and one of m shingles or more,
+    the index is at most (n - u) / (max(m, n - u) + u).
+    """
+    least = open_.groupBy("key").agg(F.min("n_shingles").alias("m"))
+    single = open_.join(open_.groupBy("comp").agg(F.min("rep").alias("x"), F.max("rep").alias("y")).where("x = y").select("comp"), "comp", "left_semi")
+    asked = single.join(least, "key").groupBy("rep").agg(F.first("n_shingles").alias("n"), F.min("m").alias("m"))
     most = 100 * (F.col("n") - F.col("u"))
     return asked.join(own, "rep").where(most < percent * (F.greatest(F.col("m"), F.col("n") - F.col("u")) + F.col("u"))).select("rep")
 
@@ -248,7 +253,7 @@ def near_duplicates(documents: DataFrame, shingle: int = SHINGLE, percent: int =
     crowd = materialize(rows.join(sizes, "key").select("key", "rep", "n"), "neardup-crowd")
     fame = crowd.groupBy("rep").agg((F.sum("n") + F.pmod(F.xxhash64("rep"), F.lit(1 << 20)) / F.lit(float(1 << 20))).alias("fame"))
     # members with their compressed registers, and how popular they are
-    facts = materialize(reps.select(F.col("doc_id").alias("rep"), "n_shingles", *LANES).join(fame, "rep"), "neardup-facts")
+    facts = materialize(reps.select(F.col("doc_id").alias("rep"), "n_shingles", F.transform("keys", lambda k: F.shiftright(k, 32).cast("int")).alias("bands"), *LANES).join(fame, "rep"), "neardup-facts")
     texts = texts_of(documents, facts.select(F.col("rep").alias("doc_id")).distinct())
 
     def plausible(pairs: DataFrame) -> DataFrame:
@@ -280,17 +285,20 @@ def near_duplicates(documents: DataFrame, shingle: int = SHINGLE, percent: int =
             break
         turn += 1
     if open_:
-        done = _lonely(inside, texts, shingle, percent)
-        rest = inside.join(done, "rep", "left_anti")
-        detail = materialize(rest.join(facts.select("rep", *LANES), "rep"), "neardup-open")
+        own = _exclusive(inside, texts, shingle)
+        rest = inside.join(_lonely(inside, own, percent), "rep", "left_anti").join(own, "rep", "left")
+        detail = materialize(rest.join(facts.select("rep", "bands", *LANES), "rep").withColumn("u", F.coalesce("u", F.lit(0))), "neardup-open")
         largest = detail.groupBy("key", "comp").count().groupBy("key").agg(F.max_by("comp", "count").alias("major"))
         x, y = detail.join(largest, "key").where("comp <> major").alias("x"), detail.alias("y")
-        cross = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.comp") != F.col("y.comp")) & _near("x", "y", percent))
+        nx, ux, ny, uy = (F.col(c) for c in ("x.n_shingles", "x.u", "y.n_shingles", "y.u"))
+        shared = 100 * F.least(nx - ux, ny - uy) >= percent * F.greatest(nx + uy, ny + ux)
+        once = F.array_min(F.array_intersect("x.bands", "y.bands")) == F.shiftright("x.key", 32).cast("int")
+        cross = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.comp") != F.col("y.comp")) & shared & _near("x", "y", percent) & once)
         tried = materialize(cross.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct(), "neardup-pairs")
         more = confirm(tried, texts, shingle, percent)
         if not more.isEmpty():
             part = connected_components(links.union(more), "a", "b")
-        discard(detail, tried, more)
+        discard(own, detail, tried, more)
     discard(inside, crowd, facts, texts, links)
 
     parts = part.select(F.col("id").alias("rep"), "component")
