@@ -44,7 +44,7 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{folder}"
 
 
-def materialize(df: DataFrame, label: str = "t") -> DataFrame:
+def materialize(df: DataFrame, label: str = "t", compression: str | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends here,
     and a lost executor costs a reread of files, not a recomputation.
 
@@ -53,7 +53,7 @@ def materialize(df: DataFrame, label: str = "t") -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     table = spark.read.schema(df.schema).parquet(path)
     table._written = path
     return table
