@@ -3,9 +3,11 @@
 Kinds ``email``, ``ip``, ``card`` (Luhn) and ``phone`` are the base; ``iban``
 (ISO 13616, confirmed by mod-97) is added: it may be followed by words that
 look like more of it, so it has its country's length, or where that is not
-known ends at the last word border, of 15 to 34 characters, that passes. Each span has a score: a base per
-kind, raised where a context word stands within 40 characters before it. The
+known ends at the last word border, of 15 to 34 characters, that passes. Each
+span has a score: a base per kind, raised where a context word stands within 40
+characters before or after it; a word counts whole, as the text has it. The
 score never removes a base span. Positions are code points, end exclusive.
+Every pattern reads a text in time proportional to its length.
 
 A null or empty text has no spans; repeated rows are judged alike; an empty
 table gives no rows; only ``doc_id`` and ``text`` are read.
@@ -27,7 +29,8 @@ KINDS = ["email", "ip", "card", "phone", "iban"]
 BASE_KINDS = KINDS[:4]
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
-_IP = re.compile(r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
+#: A match begins where a run of digits does, so runs are read once, however long.
+_IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
@@ -39,14 +42,15 @@ _LENGTHS = {c[:2]: int(c[2:]) for c in (
 _DIGIT = re.compile(r"[0-9]")
 SCORES = {"email": 0.8, "ip": 0.5, "card": 0.7, "phone": 0.6, "iban": 0.9}
 CONTEXT = {
-    "email": ("mail", "contact", "write", "correo", "kontakt"),
+    "email": ("mail", "email", "contact", "contacto", "write", "correo", "kontakt"),
     "ip": ("ip", "host", "server", "address", "login"),
-    "card": ("card", "visa", "credit", "karte", "carte", "tarjeta", "payment"),
-    "phone": ("phone", "tel", "call", "mobile", "fax", "telefon"),
+    "card": ("card", "visa", "credit", "karte", "kreditkarte", "carte", "tarjeta", "payment"),
+    "phone": ("phone", "telephone", "tel", "call", "mobile", "fax", "telefon", "telefono"),
     "iban": ("iban", "bank", "account", "konto", "compte", "cuenta"),
 }
 REACH = 40
-_NEAR = {kind: re.compile(r"\b(?:" + "|".join(known) + ")", re.I) for kind, known in CONTEXT.items()}
+_NEAR = {kind: re.compile(r"\b(?:" + "|".join(known) + r")\b", re.I) for kind, known in CONTEXT.items()}
+_LONGEST = max(len(word) for known in CONTEXT.values() for word in known)
 
 
 def luhn(digits: str) -> bool:
@@ -118,11 +122,17 @@ def find_spans(text: str | None) -> list[tuple[int, int, str, float]]:
     out = []
     for s, k, e in sorted(found):
         kind = KINDS[k]
-        near = _NEAR[kind].search(text[max(0, s - REACH) : s])
-        out.append((s, e, kind, min(1.0, SCORES[kind] + (0.2 if near else 0.0))))
+        out.append((s, e, kind, min(1.0, SCORES[kind] + (0.2 if in_context(text, s, e, kind) else 0.0))))
     return out
 
 
+def in_context(text: str, start: int, end: int, kind: str) -> bool:
+    """Whether a context word of the kind stands, whole, within REACH characters before or after the span."""
+    find = _NEAR[kind].finditer
+    before = any(m.end() <= start for m in find(text, max(0, start - REACH), start + 1))
+    return before or any(m.start() < end + REACH for m in find(text, end, end + REACH + _LONGEST + 1))
+
+
 def redact(text: str, spans: list[tuple[int, int, str, float]]) -> str:
     """Each span replaced by its kind in brackets; overlapping spans count as one."""
     parts, at = [], 0
