@@ -11,7 +11,8 @@ refer to it and carry no payload. The heads of groups are found by a
 pre-aggregated ``max`` on a SHA-256 key; only the key, never the html, is
 grouped, and the join back may be split when one payload is very frequent.
 
-Null html is an empty payload; rows with one page_id and one payload get the
+Null html is an empty payload; a null page_id is kept, is the head of a group
+only among others, and never referred to; rows with one page_id and one payload get the
 same record type; an empty table gives no rows; only ``page_id``, ``url`` and
 ``html`` are read. A task that runs again writes bundles with other names, and
 the index holds only those of the attempt that counted.
@@ -43,7 +44,18 @@ INDEX = "record_id string, page_id long, bundle string, frame long, offset long,
 
 
 def _filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
-    return pafs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
+    """The file system of a URI as Spark writes it: s3a and s3n are s3; schemes that Arrow lacks are left to fsspec, where installed."""
+    scheme, colon, rest = uri.partition(":")
+    if not colon:
+        return pafs.FileSystem.from_uri(f"file://{uri}")
+    if scheme in ("s3a", "s3n"):
+        scheme, uri = "s3", f"s3:{rest}"
+    if scheme in ("file", "s3", "gs", "gcs", "hdfs", "viewfs", "abfs", "abfss"):
+        return pafs.FileSystem.from_uri(uri)
+    import fsspec  # noqa: PLC0415  only for such schemes
+
+    store, path = fsspec.core.url_to_fs(uri)
+    return pafs.PyFileSystem(pafs.FSSpecHandler(store)), path
 
 
 class BundleWriter:
@@ -115,7 +127,7 @@ def encode_record(page_id: int, url: str | None, payload: bytes, refers_to: int
         f"WARC-Target-URI: {uri}",
         f"WARC-Date: {DATE}",
         f"WARC-Payload-Digest: sha1:{hashlib.sha1(payload).hexdigest()}",
-        f"X-Page-Id: {page_id}",
+        f"X-Page-Id: {'' if page_id is None else page_id}",
         f"X-Payload-Length: {len(payload)}",
         "Content-Type: text/html; charset=utf-8",
         f"Content-Length: {len(body)}",
@@ -139,7 +151,9 @@ def with_heads(pages: DataFrame, least: int = MIN_REVISIT) -> DataFrame:
     page = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     keyed = page.withColumn("key", F.when(F.octet_length("html") >= least, F.sha2("html", 256)))
     heads = keyed.where("key is not null").groupBy("key").agg(F.max("page_id").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "head")
-    return keyed.join(heads, "key", "left").select("page_id", "url", "html", F.when(F.col("head") != F.col("page_id"), F.col("head")).alias("refers_to"))
+    long = keyed.where("key is not null").join(heads, "key", "left").select("page_id", "url", "html", F.when(~F.col("head").eqNullSafe(F.col("page_id")), F.col("head")).alias("refers_to"))
+    # short pages have no key and are not shuffled
+    return long.union(keyed.where("key is null").select("page_id", "url", "html", F.lit(None).cast("long")))
 
 
 def write_archives(pages: DataFrame, folder: str, least: int = MIN_REVISIT) -> DataFrame:
@@ -197,7 +211,7 @@ def read_archives(index: DataFrame, folder: str, with_payload: bool = True) -> D
                     if fields["WARC-Record-ID"] != x["record_id"] or kind == "response" and (hashlib.sha1(payload).hexdigest(), len(payload)) != (digest, size):
                         raise ValueError(f"record {x['record_id']} is damaged")
                     refers = fields.get("X-Refers-To-Page")
-                    rows.append((int(fields["X-Page-Id"]), fields["WARC-Record-ID"], fields["WARC-Target-URI"], kind, refers and int(refers), size, digest, payload)[: len(names)])
+                    rows.append((int(fields["X-Page-Id"]) if fields["X-Page-Id"] else None, fields["WARC-Record-ID"], fields["WARC-Target-URI"], kind, refers and int(refers), size, digest, payload)[: len(names)])
                 kinds = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=False)], names=names)
 
