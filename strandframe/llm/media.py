@@ -4,9 +4,11 @@
 type 0x06, stream id 0xBD): the payload is cut into PES packets, each with a
 90 kHz presentation time stamp, its first transport packet marked as a
 random-access point and carrying a program clock reference. ``demux`` reads
-the tables (with their CRC-32/MPEG-2), follows the continuity counters of each
-PID, puts the elementary packets together again and lists time stamps with
-the packet numbers of their random-access points.
+the tables of all programs (with their CRC-32/MPEG-2), follows the continuity
+counters of every PID (copies, packets without payload and discontinuity flags
+allowed for), puts the elementary packets together again and lists time stamps
+with the packet numbers of their random-access points. The streams are stored
+as a column of Parquet files and read from there in a step of its own.
 
 A null or empty text has the payload of 64 zero bytes; equal texts have equal
 streams; repeated rows are treated alike; an empty table gives no rows; only
@@ -24,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import read_table
+from ..session import materialize, read_table
 from . import textvec as tv
 
 PACKET = 188
@@ -116,42 +118,81 @@ def _table(packet: np.ndarray, kind: int) -> bytes:
     return body[:-4]
 
 
-def demux(stream: bytes) -> tuple[bytes, dict]:
-    """The payload, and what the stream says of itself."""
-    if not stream or len(stream) % PACKET:
-        raise StreamError("not a whole number of packets")
-    packets = np.frombuffer(stream, np.uint8).reshape(-1, PACKET)
-    if (packets[:, 0] != SYNC).any():
-        raise StreamError("sync byte missing")
-    pid = (packets[:, 1].astype(np.int64) & 0x1F) << 8 | packets[:, 2]
-    pat = _table(packets[np.flatnonzero(pid == 0)[0]], 0)
-    pmt_pid = (pat[10] & 0x1F) << 8 | pat[11]
-    pmt = _table(packets[np.flatnonzero(pid == pmt_pid)[0]], 2)
-    es_pid = (pmt[13] & 0x1F) << 8 | pmt[14]
-    number = np.flatnonzero(pid == es_pid)
-    own = packets[number]
-    counters = own[:, 3] & 15
-    errors = int(((counters[1:] - counters[:-1]) & 15 != 1).sum())
-    if errors:
-        raise StreamError(f"{errors} breaks of continuity")
+def _followed(own: np.ndarray) -> tuple[np.ndarray, int]:
+    """Which packets of one PID carry new payload, and how often its counter breaks.
+
+    The counter steps by one with each payload and stays without one; one exact
+    copy of a packet may follow it; a set discontinuity flag excuses a step.
+    """
+    counter, loaded = own[:, 3] & 15, own[:, 3] & 0x10 != 0
+    excused = (own[:, 3] & 0x20 != 0) & (own[:, 4] > 0) & (own[:, 5] & 0x80 != 0)
+    copy = np.zeros(len(own), bool)
+    copy[1:] = loaded[1:] & (counter[1:] == counter[:-1]) & (own[1:] == own[:-1]).all(1)
+    copy[1:] &= ~copy[:-1]
+    step = (counter[1:] - counter[:-1]) & 15
+    broken = (step != np.where(loaded[1:] & ~copy[1:], 1, 0)) & ~excused[1:]
+    return loaded & ~copy, int(broken.sum())
+
+
+def _elementary(own: np.ndarray, number: np.ndarray) -> tuple[list[bytes], list[int], list[int], int]:
+    """Whole elementary packets of a PID, their time stamps, its random-access points, and how many packets are cut."""
     adapted = own[:, 3] & 0x20 != 0
-    skip = 4 + np.where(adapted, own[:, 4].astype(np.int64) + 1, 0)
+    skip = np.minimum(4 + np.where(adapted, own[:, 4].astype(np.int64) + 1, 0), PACKET)
     flags = np.where(adapted & (own[:, 4] > 0), own[:, 5], 0)
     starts = np.flatnonzero(own[:, 1] & 0x40)
-    points = number[(flags & 0x40) != 0]
-    mask = np.arange(PACKET)[None, :] >= skip[:, None]
-    data = own[mask].tobytes()
+    data = own[np.arange(PACKET)[None, :] >= skip[:, None]].tobytes()
     at = np.concatenate(([0], np.cumsum(PACKET - skip)))
-    chunks, stamps = [], []
+    chunks, stamps, cut = [], [], int(len(starts) == 0 or starts[0] > 0) if len(own) else 0
     for k, s in enumerate(starts):
         end = at[starts[k + 1]] if k + 1 < len(starts) else at[-1]
         pes = data[at[s] : end]
-        size = int.from_bytes(pes[4:6], "big")
-        if pes[:3] != b"\x00\x00\x01" or len(pes) != size + 6:
-            raise StreamError("elementary packet is cut")
+        if pes[:3] != b"\x00\x00\x01" or len(pes) != int.from_bytes(pes[4:6], "big") + 6:
+            cut += 1
+            continue
         stamps.append(_ticks(pes[9:14]))
         chunks.append(pes[9 + pes[8] :])
-    return b"".join(chunks), {"packets": len(packets), "stream_type": pmt[12], "pts": stamps, "random_access": points.tolist(), "continuity_errors": errors}
+    return chunks, stamps, number[(flags & 0x40) != 0].tolist(), cut
+
+
+def demux(stream: bytes, strict: bool = True) -> tuple[bytes, dict]:
+    """The payload of the first private-data stream, and what the transport stream says of itself.
+
+    All programs of the PAT are read. The counters of every PID but that of
+    null packets are followed; breaks and cut elementary packets are counted,
+    and with ``strict`` they are an error. Broken tables always are.
+    """
+    if not stream or len(stream) % PACKET:
+        raise StreamError("not a whole number of packets")
+    packets = np.frombuffer(stream, np.uint8).reshape(-1, PACKET)
+    if (packets[:, 0] != SYNC).any():
+        raise StreamError("sync byte missing")
+    pid = (packets[:, 1].astype(np.int64) & 0x1F) << 8 | packets[:, 2]
+    errors, kept = 0, {}
+    for p in np.unique(pid).tolist():
+        if p != 0x1FFF:
+            number = np.flatnonzero(pid == p)
+            new, broken = _followed(packets[number])
+            kept[p], errors = number[new], errors + broken
+    if not len(kept.get(0, ())):
+        raise StreamError("no program table")
+    pat = _table(packets[kept[0][0]], 0)
+    programs: dict[int, list[tuple[int, int]]] = {}
+    for k in range(8, len(pat), 4):
+        program, pmt_pid = pat[k] << 8 | pat[k + 1], (pat[k + 2] & 0x1F) << 8 | pat[k + 3]
+        if program and len(kept.get(pmt_pid, ())):
+            pmt = _table(packets[kept[pmt_pid][0]], 2)
+            at = 12 + ((pmt[10] & 0x0F) << 8 | pmt[11])
+            programs[program] = []
+            while at < len(pmt):
+                programs[program].append((pmt[at], (pmt[at + 1] & 0x1F) << 8 | pmt[at + 2]))
+                at += 5 + ((pmt[at + 3] & 0x0F) << 8 | pmt[at + 4])
+    streams = [x for own in programs.values() for x in own]
+    kind, es_pid = next((x for x in streams if x[0] == STREAM_TYPE), streams[0] if streams else (0, -1))
+    number = kept.get(es_pid, np.zeros(0, np.int64))
+    chunks, stamps, points, cut = _elementary(packets[number], number)
+    if strict and (errors or cut):
+        raise StreamError(f"{errors} breaks of continuity, {cut} elementary packets cut")
+    return b"".join(chunks), {"packets": len(packets), "programs": programs, "stream_type": kind, "pts": stamps, "random_access": points, "continuity_errors": errors, "cut": cut}
 
 
 def payload_of(raw: bytes) -> bytes:
@@ -159,37 +200,59 @@ def payload_of(raw: bytes) -> bytes:
     return raw.ljust(max(64, -(-len(raw) // 64) * 64), b"\0")
 
 
-SCHEMA = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, media binary"
+STORED = "doc_id long, n_bytes long, media binary"
+READ = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, pts array<long>, random_access array<long>"
+#: Bytes of streams in one Arrow batch.
+BATCH_BYTES = 8 << 20
 
 
-def store(documents: DataFrame, with_media: bool = True) -> DataFrame:
-    """Each text as a transport stream (column ``media``), and what reading it back gives.
-
-    Without ``with_media`` the streams are made, read back and digested but not
-    kept, so the column is left out.
-    """
+def store(documents: DataFrame) -> DataFrame:
+    """doc_id, bytes of the text, and its transport stream (column ``media``)."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in tv.slices(batches):
             buf, offsets = tv.utf8(part.column("text"))
-            rows: list[tuple] = []
-            for r in range(part.num_rows):
-                raw = buf[offsets[r] : offsets[r + 1]].tobytes()
-                stream = mux(payload_of(raw))
-                back, facts = demux(stream)
-                pts, points = facts["pts"], facts["random_access"]
-                feature = f"packets={facts['packets']};type={facts['stream_type']};pes={len(pts)};pts={pts[0]}-{pts[-1]};rap={','.join(map(str, points))};errors={facts['continuity_errors']}"
-                rows.append((len(raw), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(stream), hashlib.sha256(stream).hexdigest(), feature, stream if with_media else None))
-            cols = list(zip(*rows, strict=True))
-            kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary()]
-            arrays = [part.column("doc_id"), *(pa.array(c, t) for c, t in zip(cols, kinds, strict=True))]
-            n = len(arrays) if with_media else len(arrays) - 1
-            yield pa.RecordBatch.from_arrays(arrays[:n], names=names[:n])
-
-    names = [x.split()[0] for x in SCHEMA.split(", ")]
+            media = [mux(payload_of(buf[offsets[r] : offsets[r + 1]].tobytes())) for r in range(part.num_rows)]
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.diff(offsets)), pa.array(media, pa.binary())], names=["doc_id", "n_bytes", "media"])
+
     source = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return source.mapInArrow(scan, SCHEMA if with_media else SCHEMA.removesuffix(", media binary"))
+    return source.mapInArrow(scan, STORED)
+
+
+def read_back(stored: DataFrame) -> DataFrame:
+    """What the stored streams hold: payload and stream digests, features, time stamps, random-access points.
+
+    Breaks of continuity and cut packets are in ``feature``; they do not stop
+    the job. A stream whose tables cannot be read has no payload and the
+    feature ``unreadable``.
+    """
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in tv.slices(batches, "media", BATCH_BYTES):
+            rows: list[tuple] = []
+            for stream in part.column("media").to_pylist():
+                stream = stream or b""
+                try:
+                    back, facts = demux(stream, strict=False)
+                    pts, points = facts["pts"], facts["random_access"]
+                    feature = f"packets={facts['packets']};type={facts['stream_type']};pes={len(pts)};pts={min(pts, default='')}-{max(pts, default='')};rap={','.join(map(str, points))};errors={facts['continuity_errors']}"
+                    if facts["cut"]:
+                        feature += f";cut={facts['cut']}"
+                except StreamError:
+                    back, pts, points, feature = b"", [], [], "unreadable"
+                rows.append((len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(stream), hashlib.sha256(stream).hexdigest(), feature, pts, points))
+            kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+            arrays = [part.column("doc_id"), part.column("n_bytes"), *(pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True))]
+            yield pa.RecordBatch.from_arrays(arrays, names=names)
+
+    names = [x.split()[0] for x in READ.split(", ")]
+    return stored.mapInArrow(scan, READ)
+
+
+def stored_and_read(documents: DataFrame) -> DataFrame:
+    """Streams written to the shared folder (a column of Parquet files), and read from there."""
+    return read_back(materialize(store(documents), "media", compression="zstd"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return store(read_table(spark, sf_dir, "documents"), with_media=False)
+    return stored_and_read(read_table(spark, sf_dir, "documents")).drop("pts", "random_access")
