@@ -6,8 +6,8 @@ rows). With n tokens and posteriors p, document d adds r*n*p[k] expected
 tokens to domain k. Rates r >= ``min_rate`` minimise the squared distance of
 all domains' expected tokens from their targets by projected gradient steps,
 scaled by the inverse of the K x K Gram matrix of the rows that can move and
-halved until the distance falls. A step needs K*K and K sums of two or more
-distributed aggregates; the rate of a document is a fold of its own row over
+halved until the distance falls. A step needs two distributed aggregates, one
+of K*K sums and one of K sums for each halving; the rate of a document is a fold of its own row over
 the K-vectors of all steps, so no rate is ever stored or collected.
 
 Documents without words (null and empty texts among them) have uniform
@@ -34,7 +34,9 @@ from . import textvec as tv
 
 TRAIN_ROWS, EPOCHS, BUCKETS = 4000, 6, 1 << 14
 STEPS, HALVINGS, TOLERANCE = 40, 8, 1e-9
-MIN_RATE = 1.0
+MIN_RATE = 0.0
+#: Least rate in the pipeline, where a document that earlier stages kept stays in the mixture.
+STAGE_RATE = 1.0
 
 
 def _counts(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -152,25 +154,33 @@ def fit_rates(members: DataFrame, targets: list[float], floor: float = MIN_RATE,
         row = free.agg(*[F.sum(mass[i] * mass[j] / F.lit(scale**2)).alias(f"g{i}_{j}") for i in range(k) for j in range(i, k)]).first()
         return np.array([[row[f"g{min(i, j)}_{max(i, j)}"] or 0.0 for j in range(k)] for i in range(k)])
 
-    def expected(steps: list) -> np.ndarray:
-        got = members.withColumn("_r", _rate(steps, scale, floor)).agg(*[F.sum(F.col("_r") * m).alias(f"s{j}") for j, m in enumerate(mass)]).first()
-        return np.array([got[f"s{j}"] for j in range(k)])
+    def trials(step: np.ndarray) -> np.ndarray:
+        """Expected tokens after the step and after each of its halvings, in one aggregate."""
+        pull = sum((m * float(x) for m, x in zip(mass, step / scale, strict=True)), F.lit(0.0))
+        moved = members.select("n_tokens", "posterior", _rate(path, scale, floor).alias("_r"), pull.alias("_d")).where("n_tokens > 0")
+        rate = lambda h: F.greatest(F.lit(float(floor)), F.col("_r") + F.col("_d") * 0.5**h)
+        got = moved.agg(*[F.sum(rate(h) * m).alias(f"s{h}_{j}") for h in range(HALVINGS) for j, m in enumerate(mass)]).first()
+        return np.array([[got[f"s{h}_{j}"] or 0.0 for j in range(k)] for h in range(HALVINGS)])
 
     while done < steps and np.abs(goal - now).max() > TOLERANCE * total:
         done += 1
         step, before = np.linalg.pinv(gram(goal - now), rcond=1e-10) @ ((goal - now) / scale), now
-        for _ in range(HALVINGS):  # until the distance falls
-            trial = expected([*path, step.tolist()])
+        for h, trial in enumerate(trials(step)):  # the first that brings the distance down
             if np.linalg.norm(goal - trial) < np.linalg.norm(goal - now):
-                path.append(step.tolist())
+                path.append((step * 0.5**h).tolist())
                 now = trial
                 break
-            step = step / 2
         if np.abs(now - before).max() <= TOLERANCE * total:
             break
     return _rate(path, scale, floor), {"targets": goal.tolist(), "expected": now.tolist(), "steps": done}
 
 
+def gap(report: dict) -> float:
+    """The largest miss of a target as a share of all tokens."""
+    total = sum(report["targets"])
+    return max(abs(t - e) for t, e in zip(report["targets"], report["expected"], strict=True)) / total if total else 0.0
+
+
 def mix(documents: DataFrame, labels: DataFrame, keep: list[str], weights: dict[str, float] | None = None, floor: float = MIN_RATE) -> tuple[DataFrame, dict]:
     """Columns of ``keep``, n_tokens, posterior, rate and copies; and the report of the fit.
 
@@ -189,10 +199,22 @@ def mix(documents: DataFrame, labels: DataFrame, keep: list[str], weights: dict[
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
-    return mix(docs, read_table(spark, sf_dir, "labels"), ["doc_id", "source"])[0]
+    mixed, report = mix(docs, read_table(spark, sf_dir, "labels"), ["doc_id", "source"])
+    return mixed.withColumn("target_gap", F.lit(round(gap(report), 9)))
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document with its rate and copies; equal shares for all languages, no rate below 1."""
-    clash = [c for c in docs.columns if c in ("n_tokens", "posterior", "rate", "copies")]
-    return mix(docs.drop(*clash), read_table(spark, sf_dir, "labels"), [c for c in docs.columns if c not in clash])[0]
+    """Every document with its rate (STAGE_RATE at least) and copies, equal shares for all languages, and how far a target is missed.
+
+    Columns of ``docs`` that have a name of the result go on as ``<name>_before``.
+    """
+    ours = ("n_tokens", "posterior", "rate", "copies", "target_gap")
+    names: dict[str, str] = {}
+    for c in docs.columns:
+        new = f"{c}_before" if c in ours else c
+        while new != c and (new in docs.columns or new in names.values()):
+            new += "_before"
+        names[c] = new
+    docs = docs.withColumnsRenamed(names)
+    mixed, report = mix(docs, read_table(spark, sf_dir, "labels"), docs.columns, floor=STAGE_RATE)
+    return mixed.withColumn("target_gap", F.lit(round(gap(report), 9)))

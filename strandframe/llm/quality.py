@@ -184,5 +184,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose score reaches the cut."""
-    net = train(docs, read_table(spark, sf_dir, "labels"))
-    return with_score(docs, net, keep=docs.columns, name="_score").where(F.col("_score") >= labelled.CUT).drop("_score")
+    net, name = train(docs, read_table(spark, sf_dir, "labels")), "_score"
+    while name in docs.columns:
+        name = f"_{name}"
+    return with_score(docs, net, keep=docs.columns, name=name).where(F.col(name) >= labelled.CUT).drop(name)
