@@ -178,14 +178,14 @@ def test_media_round_trip(edge, nothing):
     del broken[5 * media.PACKET : 6 * media.PACKET]
     with pytest.raises(media.StreamError):
         media.demux(bytes(broken))
-    got = {r.doc_id: r for r in media.store(edge).collect()}
+    got = {r.doc_id: r for r in media.store(edge).join(media.stored_and_read(edge).drop('n_bytes'), 'doc_id').collect()}
     for k, t in TEXTS.items():
         raw = media.payload_of((t or "").encode())
         r = got[k]
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len((t or "").encode()), len(raw), hashlib.sha256(raw).hexdigest(), zlib.crc32(raw[-64:]))
         assert hashlib.sha256(r.media).hexdigest() == r.media_sha256 and len(r.media) == r.media_bytes
     assert got[6].feature == got[13].feature and got[6].media_sha256 == got[13].media_sha256
-    assert media.store(nothing).count() == 0
+    assert media.stored_and_read(nothing).count() == 0
 
 
 def test_warc_round_trip(spark, tmp_path):
@@ -280,7 +280,7 @@ def test_mixing(spark, edge, nothing):
             assert slope > -1e-3 and (r.r <= floor + 1e-6 or abs(slope) < 1e-3)
     labels = spark.createDataFrame([(6, 1), (9, 1), (14, 0)], "doc_id long, quality int")
     docs = edge.withColumn("lang", F.when(F.col("doc_id") == 14, "fr").otherwise("en"))
-    out, report = mixing.mix(docs, labels, ["doc_id", "lang"])
+    out, report = mixing.mix(docs, labels, ["doc_id", "lang"], floor=1.0)
     got = {r.doc_id: r for r in out.collect()}
     assert set(got) == set(TEXTS) and got[1].rate == 1.0 and all(r.copies >= 1 for r in got.values())
     assert report["domains"] == ["en", "fr"] and got[14].posterior[1] > 0.5
