@@ -216,14 +216,14 @@ def translate(seq: Column, frame: int = 1, code: int = 1, mark_starts: bool = Tr
     """Protein of one frame (1..3, or -1..-3 on the reverse complement).
 
     White space goes and U becomes T; a-z become A-Z, so other letters keep their place; an
-    unknown codon is X; the tail is dropped.
+    unknown codon is X, one of three gaps a gap; the tail is dropped.
     """
     if frame not in (1, 2, 3, -1, -2, -3):
         raise ValueError(f"no frame {frame}")
     clean = F.translate(upper_ascii(F.regexp_replace(seq, r"\s+", "")), "U", "T")
     strand = clean if frame > 0 else revcomp(clean)
     table = F.create_map(*[F.lit(x) for pair in translation_table(code, mark_starts).items() for x in pair])
-    return F.array_join(F.transform(codons(F.substr(strand, F.lit(abs(frame)))), lambda c: F.coalesce(F.element_at(table, c), F.lit("X"))), "")
+    return F.array_join(F.transform(codons(F.substr(strand, F.lit(abs(frame)))), lambda c: F.coalesce(F.element_at(table, c), F.when(c == "---", "-").otherwise("X"))), "")
 
 
 FRAMES = (1, 2, 3, -1, -2, -3)

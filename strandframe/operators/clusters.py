@@ -3,18 +3,19 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
 from .components import connected_components
+from .tables import number_rows
 
 ASSIGNMENT = "seq_id string, cluster_id string, representative_id string, is_representative boolean"
 
 
-def _number(groups: DataFrame, key: str, order: list[Column]) -> DataFrame:
-    """A running number from 1 for each cluster; clusters are counted once, by one sort of their keys."""
-    return groups.withColumn("_n", F.row_number().over(Window.orderBy(*order)))
+def _number(groups: DataFrame, order: list[Column]) -> DataFrame:
+    """A running number from 0 for each cluster."""
+    return number_rows(groups, order)[0].withColumn("_n", F.col("_n") - 1)
 
 
 def component_clusters(nodes: DataFrame, edges: DataFrame, excluded: DataFrame | None = None, prefix: str = "cluster_") -> DataFrame:
@@ -29,7 +30,7 @@ def component_clusters(nodes: DataFrame, edges: DataFrame, excluded: DataFrame |
     member = ids.join(part.select(F.col("id").alias("seq_id"), "component"), "seq_id", "left").select("seq_id", F.coalesce("component", "seq_id").alias("root"))
     barred = member.withColumn("_bad", F.lit(0)) if excluded is None else member.join(excluded.select("seq_id").distinct().withColumn("_out", F.lit(1)), "seq_id", "left").withColumn("_bad", F.coalesce("_out", F.lit(0))).drop("_out")
     rep = barred.groupBy("root").agg(F.min(F.struct("_bad", "seq_id"))["seq_id"].alias("representative_id"))
-    named = _number(rep, "root", [F.col("root")]).select("root", "representative_id", F.concat(F.lit(prefix), F.col("_n").cast("string")).alias("cluster_id"))
+    named = _number(rep, [F.col("root")]).select("root", "representative_id", F.concat(F.lit(prefix), F.col("_n").cast("string")).alias("cluster_id"))
     return barred.join(named, "root").select("seq_id", "cluster_id", "representative_id", (F.col("seq_id") == F.col("representative_id")).alias("is_representative"))
 
 
@@ -63,13 +64,14 @@ def centroid_clusters(nodes: DataFrame, edges: DataFrame, excluded: DataFrame |
     alone = ids.join(both.select("seq_id").distinct(), "seq_id", "left_anti").select("seq_id", F.col("seq_id").alias("representative_id"))
     member = materialize(joined.union(alone), "centroids")
     heads = member.where("seq_id = representative_id").select("representative_id").join(ids.withColumnRenamed("seq_id", "representative_id"), "representative_id")
-    named = _number(heads, "representative_id", [F.col("_bad"), F.desc("length"), F.col("representative_id")])
+    named = _number(heads, [F.col("_bad"), F.desc("length"), F.col("representative_id")])
     return member.join(named.select("representative_id", F.concat(F.lit(prefix), F.col("_n").cast("string")).alias("cluster_id")), "representative_id").select("seq_id", "cluster_id", "representative_id", (F.col("seq_id") == F.col("representative_id")).alias("is_representative"))
 
 
 def with_edge_values(assigned: DataFrame, edges: DataFrame) -> DataFrame:
-    """Adds identity and coverage to the representative (best edge of either direction; 100 for itself)."""
-    both = edges.select("query_id", "target_id", "identity", F.col("query_coverage").alias("cov")).union(edges.select("target_id", "query_id", "identity", "target_coverage"))
+    """Adds identity and coverage to the representative (best edge of either direction, its lesser coverage; 100 for itself)."""
+    cov = F.least("query_coverage", "target_coverage").alias("cov")
+    both = edges.select("query_id", "target_id", "identity", cov).union(edges.select("target_id", "query_id", "identity", cov))
     best = both.groupBy(F.col("query_id").alias("seq_id"), F.col("target_id").alias("representative_id")).agg(F.max("identity").alias("i"), F.max("cov").alias("c"))
     value = lambda c: F.when(F.col("is_representative"), F.lit(100.0)).otherwise(F.col(c))
     return assigned.join(best, ["seq_id", "representative_id"], "left").withColumns({"identity_to_representative": value("i"), "coverage_to_representative": value("c")}).drop("i", "c")

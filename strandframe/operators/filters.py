@@ -70,11 +70,13 @@ def clean_header(header: Column, prefix: str = "", suffix: str = "", first_word:
 
 # Names by which tools call the same column.
 ALIASES = {
-    "qseqid": "sequence_id", "query": "sequence_id", "query_id": "sequence_id", "seqid": "sequence_id", "contig_id": "sequence_id", "seq_id": "sequence_id",
-    "qstart": "start", "q1": "start", "ali_from": "start", "start_pos": "start", "begin": "start",
-    "qend": "end", "q2": "end", "ali_to": "end", "end_pos": "end", "stop": "end",
-    "bitscore": "score", "bits": "score", "e_value": "evalue", "e-value": "evalue", "Strand": "strand",
-    "target": "profile_name", "target_name": "profile_name", "sseqid": "profile_name", "hmm_full_name": "profile_name",
+    "begin": "start", "from": "start", "seq_from": "start", "query_start": "start", "qstart": "start",
+    "to": "end", "seq_to": "end", "query_end": "end", "qend": "end",
+    "qseqid": "sequence_id", "sequence_ID": "sequence_id", "contig_id": "sequence_id", "contig": "sequence_id", "query": "sequence_id", "id": "sequence_id", "name": "sequence_id",
+    "bitscore": "score", "bit_score": "score", "bits": "score",
+    "e_value": "evalue",
+    "tool": "source", "method": "source", "db": "source", "database": "source",
+    "feature": "type", "annotation": "type", "category": "type",
 }
 STARTS = ("q1", "start", "qstart", "start_pos", "ali_from")
 ENDS = ("q2", "end", "qend", "end_pos", "ali_to")

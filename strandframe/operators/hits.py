@@ -18,12 +18,18 @@ def drop_self_hits(df: DataFrame, query: str = "query_id", target: str = "target
     return df.where(F.col(query).isNotNull() & F.col(target).isNotNull() & (F.col(query) != F.col(target)))
 
 
-def prune_hsps(df: DataFrame, query: str, target: str, length: str, qlen: str, order: list[str], most: float = 1.10) -> DataFrame:
-    """Keeps the hits of a pair until they add up to the query, in the given order."""
+MIN_EVALUE = 1e-3
+
+
+def prune_hsps(df: DataFrame, query: str, target: str, qlen: str, order: list[str], most: float = 1.10, min_length: int = 0, min_evalue: float = MIN_EVALUE) -> DataFrame:
+    """Hits whose span on the query (qstart, qend) and e-value reach the limits, and of these
+    the hits of a pair until their spans add up to the query, in the given order."""
+    length = "_span"
+    df = df.withColumn(length, F.col("qend") - F.col("qstart") + 1).where((F.col(length) >= min_length) & (F.col("evalue") <= min_evalue))
     w = Window.partitionBy(query, target).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     before = F.sum(length).over(w) - F.col(length)
     size = F.first(qlen).over(w)
-    return df.withColumns({"_before": before, "_size": size}).where((F.col("_before") < F.col("_size")) & (F.col(length) + F.col("_before") < most * F.col("_size"))).drop("_before", "_size")
+    return df.withColumns({"_before": before, "_size": size}).where((F.col("_before") < F.col("_size")) & (F.col(length) + F.col("_before") < most * F.col("_size"))).drop("_before", "_size", length)
 
 
 def pair_identity(df: DataFrame, query: str, target: str, pident: str, length: str) -> DataFrame:
@@ -45,10 +51,10 @@ def pair_coverage(df: DataFrame, query: str, target: str, axes: dict[str, tuple[
     return covered.groupBy(query, target).agg(*[F.max(F.when(F.col("axis") == a, share)).alias(f"{a}_coverage") for a in axes])
 
 
-def hsps_to_edges(df: DataFrame, order: list[str], prune: bool = True, min_identity: float = 0.0, query: str = "query_id", target: str = "target_id") -> DataFrame:
+def hsps_to_edges(df: DataFrame, order: list[str], prune: bool = True, min_identity: float = 0.0, query: str = "query_id", target: str = "target_id", min_length: int = 0, min_evalue: float = MIN_EVALUE) -> DataFrame:
     """Edge table of a hit table with 14 columns; pairs below ``min_identity`` skip the coverage work."""
     flat = normalize_coordinates(drop_self_hits(df, query, target), ("qstart", "qend"), ("sstart", "send"))
-    kept = prune_hsps(flat, query, target, "length", "qlen", order) if prune else flat
+    kept = prune_hsps(flat, query, target, "qlen", order, min_length=min_length, min_evalue=min_evalue) if prune else flat.where((F.col("qend") - F.col("qstart") + 1 >= min_length) & (F.col("evalue") <= min_evalue))
     stats = pair_identity(kept, query, target, "pident", "length")
     if min_identity > 0:
         stats = stats.where(F.col("identity") >= min_identity)
@@ -58,14 +64,20 @@ def hsps_to_edges(df: DataFrame, order: list[str], prune: bool = True, min_ident
 
 
 def with_global_ani(edges: DataFrame, lengths: DataFrame | None = None) -> DataFrame:
-    """global_ani_query, global_ani_target and tani; the last weighted by lengths (seq_id, length) where given."""
-    out = edges.withColumns({f"global_ani_{s}": F.round(F.col("identity") * F.col(f"{s}_coverage") / 100, 2) for s in ("query", "target")})
+    """global_ani_query, global_ani_target and tani; the last weighted by whole lengths (seq_id, length) where given.
+
+    Percentages have two digits, so all of it is computed in whole hundredths; halves are rounded up.
+    """
+    cents = lambda c: F.round(F.col(c) * 100).cast("long")
+    nearest = lambda top, bottom: F.floor((2 * top + bottom) / (2 * bottom)).cast("long")
+    whole = {f"global_ani_{s}": F.floor((cents("identity") * cents(f"{s}_coverage") + 5000) / 10000) / 100.0 for s in ("query", "target")}
+    out = edges.withColumns(whole)
     if lengths is None:
-        return out.withColumn("tani", F.round((F.col("global_ani_query") + F.col("global_ani_target")) / 2, 2))
+        return out.withColumn("tani", nearest(cents("global_ani_query") + cents("global_ani_target"), F.lit(2)) / 100.0)
     for s in ("query", "target"):
         out = out.join(lengths.select(F.col("seq_id").alias(f"{s}_id"), F.col("length").alias(f"_{s}")), f"{s}_id", "left").fillna(0, [f"_{s}"])
     total = F.col("_query") + F.col("_target")
-    tani = F.when(total == 0, F.lit(0.0)).otherwise(F.round((F.col("global_ani_query") * F.col("_query") + F.col("global_ani_target") * F.col("_target")) / total, 2))
+    tani = F.when(total == 0, F.lit(0.0)).otherwise(nearest(cents("global_ani_query") * F.col("_query") + cents("global_ani_target") * F.col("_target"), total) / 100.0)
     return out.withColumn("tani", tani).drop("_query", "_target")
 
 

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,13 +18,72 @@ def kmer_rows(df: DataFrame, id_: str, seq: str, k: int, canonical: bool = False
     return rows.select("id", sq.canonical_kmer(F.col("kmer")).alias("kmer")) if canonical else rows
 
 
+SLICE_CHARS = 2 << 20
+
+
+def _windows(codes: np.ndarray, k: int) -> np.ndarray:
+    """A number for the k characters from each place on, equal for equal windows only."""
+    letters, dense = np.unique(codes, return_inverse=True)
+    base, key, top = max(len(letters), 2), dense[: len(dense) - k + 1].astype(np.int64), max(len(letters), 2)
+    for j in range(1, k):
+        if top > (1 << 62) // base:
+            seen, key = np.unique(key, return_inverse=True)
+            top = len(seen)
+        key = key * base + dense[j : j + len(key)]
+        top *= base
+    return key
+
+
+def _count_slice(ids: pa.Array, texts: list[str], k: int) -> pa.RecordBatch:
+    """Distinct windows of each text with their numbers, and all windows of the text."""
+    codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), "<u4")
+    sizes = np.array([len(t) for t in texts], np.int64)
+    own = np.repeat(np.arange(len(texts)), sizes)
+    first = np.cumsum(sizes) - sizes
+    places = np.arange(len(codes)) - first[own] if len(codes) else np.zeros(0, np.int64)
+    at = np.flatnonzero(places <= (sizes[own] - k)) if len(codes) >= k else np.zeros(0, np.int64)
+    key = _windows(codes, k)[at] if len(at) else np.zeros(0, np.int64)
+    order = np.lexsort((key, own[at]))
+    at, key = at[order], key[order]
+    fresh = np.ones(len(at), bool)
+    fresh[1:] = (key[1:] != key[:-1]) | (own[at[1:]] != own[at[:-1]])
+    head = np.flatnonzero(fresh)
+    text, starts = "".join(texts), at[head].tolist()
+    owner = own[at[head]]
+    return pa.RecordBatch.from_arrays(
+        [ids.take(pa.array(owner)), pa.array([text[s : s + k] for s in starts], pa.string()), pa.array(np.diff(np.append(head, len(at)))), pa.array(np.maximum(sizes - (k - 1), 0)[owner])],
+        names=["id", "kmer", "n", "total"],
+    )
+
+
+def counted_rows(df: DataFrame, id_: str, seq: str, k: int) -> DataFrame:
+    """id, kmer, n and total: the distinct windows of each row, counted inside the row, and all its windows.
+
+    Rows are counted apart, so nothing is shuffled and no row per window exists.
+    """
+    source = df.select(F.col(id_).alias("id"), F.coalesce(sq.upper_ascii(F.col(seq)), F.lit("")).alias("s"))
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, ids, at = batch.column("s").to_pylist(), batch.column("id"), 0
+            while at < len(texts):
+                end, size = at, 0
+                while end < len(texts) and (end == at or size + len(texts[end]) <= SLICE_CHARS):
+                    size += len(texts[end])
+                    end += 1
+                yield _count_slice(ids.slice(at, end - at), texts[at:end], k)
+                at = end
+
+    kind = source.schema["id"].dataType.simpleString()
+    return source.mapInArrow(scan, f"id {kind}, kmer string, n long, total long")
+
+
 def kmer_counts(df: DataFrame, id_: str, seq: str, k: int, canonical: bool = False, relative: bool = False) -> DataFrame:
-    """id, kmer and n; with ``relative`` also its share within the id."""
-    counted = kmer_rows(df, id_, seq, k, canonical).groupBy("id", "kmer").agg(F.count(F.lit(1)).alias("n"))
-    if not relative:
-        return counted
-    total = F.greatest(F.char_length(seq) - (k - 1), F.lit(0)).alias("_total")
-    return counted.join(df.select(F.col(id_).alias("id"), total), "id").select("id", "kmer", "n", (F.col("n") / F.col("_total")).alias("share"))
+    """id, kmer and n; with ``relative`` also its share within the id. Ids are expected once; rows that repeat one are counted apart."""
+    counted = counted_rows(df, id_, seq, k)
+    if canonical:
+        counted = counted.groupBy("id", sq.canonical_kmer(F.col("kmer")).alias("kmer")).agg(F.sum("n").alias("n"), F.max("total").alias("total"))
+    return counted.select("id", "kmer", "n", *([(F.col("n") / F.col("total")).alias("share")] if relative else []))
 
 
 def without_repetitive(df: DataFrame, id_: str, seq: str, k: int, most: int) -> DataFrame:

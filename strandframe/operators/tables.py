@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import operator
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import sequence as sq
+from ..session import materialize
 
 
 def fastx_calc(df: DataFrame, header: str, seq: str, quality: str | None = None, circular: bool = False, least: int = 0, most: int = 0) -> DataFrame:
@@ -42,20 +46,19 @@ def dedup_key(by: str, name: str, seq: str, ignore_case: bool = False, revcomp:
 
 
 def deduplicate(df: DataFrame, key: Column, order: list[str]) -> DataFrame:
-    """The first row of each key in this order.
+    """The first row of each key in this order, one of those that tie; null and empty keys are one.
 
     Keys are long sequences, so only a digest is shuffled with the order
     columns; the rows that stay are chosen by a pre-aggregated minimum, which
     one very frequent key cannot hurt, and not by a window over its group.
     """
     digest = F.sha2(F.coalesce(key, F.lit("")), 256)
-    best = df.select(digest.alias("_key"), F.struct(*order).alias("_order")).groupBy("_key").agg(F.min("_order").alias("_order"))
-    kept = best.select(*[F.col(f"_order.{c}").alias(f"_{c}") for c in order]).distinct()
-    on = [df[c].eqNullSafe(kept[f"_{c}"]) for c in order]
-    cond = on[0]
-    for c in on[1:]:
-        cond = cond & c
-    return df.join(kept, cond, "left_semi")
+    keyed = df.withColumn("_key", digest)
+    best = keyed.select("_key", F.struct(*order).alias("_order")).groupBy("_key").agg(F.min("_order").alias("_order"))
+    kept = best.select(F.col("_key").alias("_kept"), *[F.col(f"_order.{c}").alias(f"_kept_{c}") for c in order])
+    same = reduce(operator.and_, [keyed[c].eqNullSafe(kept[f"_kept_{c}"]) for c in order], keyed["_key"] == kept["_kept"])
+    # rows that the order does not tell apart lie in one partition after the join; one of them stays
+    return keyed.join(kept, same, "left_semi").dropDuplicates(["_key", *order]).drop("_key")
 
 
 def duplicate_groups(df: DataFrame, key: Column, id_: str) -> DataFrame:
@@ -70,26 +73,29 @@ def duplicate_ids(df: DataFrame, id_: str) -> DataFrame:
 # ---- names ----------------------------------------------------------------
 
 
-def rename_numbered(df: DataFrame, id_: str, order: list[str], prefix: str = "CID") -> DataFrame:
-    """old_id and new_id: prefix and running number, padded to the digits of the row count.
+def number_rows(df: DataFrame, order: list[Column], name: str = "_n") -> tuple[DataFrame, int]:
+    """``df`` with the running number (from 1) of each row in this order, and the number of rows.
 
     Numbers are dense over range partitions: each partition counts its rows, and
     the offsets of partitions (one number each) are added, so no single task
-    sees all rows.
+    sees all rows. Rows that the order does not tell apart are numbered in any order.
     """
-    from ..session import materialize
-
-    sorted_ = df.select(F.col(id_).alias("old_id"), *[F.col(c).alias(f"_o{k}") for k, c in enumerate(order)])
-    keys = [f"_o{k}" for k in range(len(order))]
-    placed = materialize(sorted_.repartitionByRange(*keys).withColumn("_part", F.spark_partition_id()), "rename")
+    placed = materialize(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "numbered")
     sizes = {r["_part"]: r["count"] for r in placed.groupBy("_part").count().collect()}
     total, offsets = 0, []
     for part in sorted(sizes):
         offsets.append((part, total))
         total += sizes[part]
     base = df.sparkSession.createDataFrame(offsets, "_part int, _base long")
-    local = F.row_number().over(Window.partitionBy("_part").orderBy(*keys, "old_id"))
-    numbered = placed.withColumn("_n", local).join(F.broadcast(base), "_part").withColumn("_n", F.col("_n") + F.col("_base"))
+    local = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
+    return placed.withColumn(name, local).join(F.broadcast(base), "_part").withColumn(name, F.col(name) + F.col("_base")).drop("_part", "_base"), total
+
+
+def rename_numbered(df: DataFrame, id_: str, order: list[str], prefix: str = "CID") -> DataFrame:
+    """old_id and new_id: prefix and running number, padded to the digits of the row count."""
+    keys = [f"_o{k}" for k in range(len(order))]
+    sorted_ = df.select(F.col(id_).alias("old_id"), *[F.col(c).alias(k) for k, c in zip(keys, order, strict=True)])
+    numbered, total = number_rows(sorted_, [F.col(c) for c in (*keys, "old_id")])
     return numbered.select("old_id", F.concat(F.lit(prefix), F.lpad(F.col("_n").cast("string"), len(str(max(total, 1))), "0")).alias("new_id"))
 
 
@@ -131,8 +137,14 @@ def stratified_sample(df: DataFrame, stratum: str, id_: str, target: int, seed:
     sizes = df.groupBy(stratum).agg(F.count(F.lit(1)).alias("_n"))
     quota = F.greatest(F.lit(1), F.floor(F.col("_n") * target / F.sum("_n").over(Window.partitionBy(F.lit(1)))))
     share = sizes.select(stratum, quota.cast("int").alias("_quota"))
-    ranked = df.withColumn("_rank", F.row_number().over(Window.partitionBy(stratum).orderBy(luck, id_)))
-    return ranked.join(F.broadcast(share), stratum).where("_rank <= _quota").drop("_rank", "_quota")
+    # only rows whose hash is below twice the share of the stratum (and a little more) are ranked; a
+    # stratum of which too few are left, by bad luck, is ranked whole, so the sample is the same
+    sized = df.withColumn("_luck", luck).join(sizes.join(share, stratum), stratum)
+    low = F.conv(F.left("_luck", F.lit(8)), 16, 10).cast("long") / F.lit(float(1 << 32)) < F.col("_quota") * 2.0 / F.col("_n") + 64.0 / F.col("_n")
+    enough = sized.where(low).groupBy(stratum).agg(F.count(F.lit(1)).alias("_have"))
+    some = sized.join(enough, stratum, "left").where(low | (F.coalesce("_have", F.lit(0)) < F.col("_quota")))
+    ranked = some.withColumn("_rank", F.row_number().over(Window.partitionBy(stratum).orderBy("_luck", id_)))
+    return ranked.where("_rank <= _quota").select(*df.columns)
 
 
 def best_record(df: DataFrame, key: str, priority: list[tuple[str, bool]], tie: str) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import sequence as sq
 from .components import connected_components
+from .tables import number_rows
 
 
 def parse_window(text: str) -> tuple[int, int]:
@@ -60,7 +61,7 @@ def exact_groups(sig: DataFrame) -> DataFrame:
 
 
 def number_groups(groups: DataFrame) -> DataFrame:
-    return groups.withColumn("group_id", F.row_number().over(Window.orderBy("end_label", F.desc("member_count"), "motif")).cast("long"))
+    return number_rows(groups, [F.col("end_label"), F.desc("member_count"), F.col("motif")], "group_id")[0]
 
 
 def hamming_groups(sig: DataFrame, distance: int) -> DataFrame:
@@ -111,7 +112,7 @@ def extend_motif(sig: DataFrame, keys: list[str]) -> DataFrame:
 def collapse_clipped(groups: DataFrame, most: int = 4, mode: str = "both") -> DataFrame:
     """Joins groups whose motif is another's with up to ``most`` characters clipped.
 
-    groups: group_id, motif, members. Clipped forms of a motif are listed and
+    groups: group_id, motif, members and, if counted apart, member_count (of ends). Clipped forms of a motif are listed and
     matched by equality, so no pair of motifs is compared in vain. The new id
     is the least; the representative has the longest motif, most members, least id.
     """
@@ -122,7 +123,8 @@ def collapse_clipped(groups: DataFrame, most: int = 4, mode: str = "both") -> Da
     edges = clipped.join(groups.select(F.col("group_id").alias("other"), "motif"), "motif").select(F.col("group_id").alias("src"), F.col("other").alias("dst")).distinct()
     part = connected_components(edges)
     joined = groups.join(part.select(F.col("id").alias("group_id"), "component"), "group_id", "left").withColumn("component", F.coalesce("component", "group_id"))
-    best = F.min_by("motif", F.struct(-F.char_length("motif"), -F.size("members"), F.col("group_id")))
+    ends = F.col("member_count") if "member_count" in groups.columns else F.size("members").cast("long")
+    best = F.min_by("motif", F.struct(-F.char_length("motif"), -ends, F.col("group_id")))
     return joined.groupBy(F.col("component").alias("new_id")).agg(best.alias("motif"), F.array_sort(F.collect_list("group_id")).alias("source_group_ids"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("members")))).alias("members")).withColumnRenamed("new_id", "group_id").withColumn("member_count", F.size("members").cast("long"))
 
 
@@ -132,12 +134,10 @@ def membership(sequences: DataFrame, id_: str, groups: DataFrame, sig: DataFrame
     An end without a group has a negative number of its own: with i counting
     sequences from 1 in order of id, -(2i-1) at the 5' end and -2i at the 3' end.
     """
-    from ..session import materialize
-
     placed = sig.select("contig_id", "end_label", F.col("motif_min").alias("motif")).join(groups.select("motif", "group_id"), "motif")
     best = placed.groupBy("contig_id", "end_label").agg(F.min("group_id").alias("g"))
     side = lambda end, name: best.where(F.col("end_label") == end).select("contig_id", F.col("g").alias(name))
-    ids = materialize(sequences.select(F.col(id_).alias("contig_id")).distinct(), "membership").withColumn("i", F.row_number().over(Window.orderBy("contig_id")).cast("long"))
+    ids = number_rows(sequences.select(F.col(id_).alias("contig_id")).distinct(), [F.col("contig_id")], "i")[0]
     out = ids.join(side("5prime", "g5"), "contig_id", "left").join(side("3prime", "g3"), "contig_id", "left")
     return out.select("contig_id", F.coalesce("g5", -(F.col("i") * 2 - 1)).alias("group_5prime"), F.coalesce("g3", -(F.col("i") * 2)).alias("group_3prime"))
 

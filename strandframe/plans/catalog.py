@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import graphs, intervals, sequences
+from . import graphs, intervals, library, sequences
 
-QUERIES = {**sequences.QUERIES, **intervals.QUERIES, **graphs.QUERIES}
-ORACLES: dict[str, str] = {**sequences.ORACLES, **intervals.ORACLES, **graphs.ORACLES}
+QUERIES = {**sequences.QUERIES, **intervals.QUERIES, **graphs.QUERIES, **library.QUERIES}
+ORACLES: dict[str, str] = {**sequences.ORACLES, **intervals.ORACLES, **graphs.ORACLES, **library.ORACLES}

@@ -27,7 +27,7 @@ def query(sql: str | None = None):
 
 _CHAIN = "e AS (SELECT cast(p_partkey AS VARCHAR) AS query_id, cast(n AS VARCHAR) AS target_id FROM (SELECT p_partkey, lead(p_partkey) OVER (PARTITION BY p_brand, p_size ORDER BY p_partkey) AS n FROM part) WHERE n IS NOT NULL)"
 _REACH = f"{_CHAIN}, v AS (SELECT query_id AS a, target_id AS b FROM e UNION SELECT target_id, query_id FROM e), r(a, b) AS (SELECT a, b FROM v UNION SELECT r.a, v.b FROM r JOIN v ON v.a = r.b), m AS (SELECT a AS id, least(a, min(b)) AS component FROM r GROUP BY a)"
-_ASSIGN = f"{_REACH}, q AS (SELECT cast(p_partkey AS VARCHAR) AS seq_id, coalesce(component, cast(p_partkey AS VARCHAR)) AS root FROM part LEFT JOIN m ON id = cast(p_partkey AS VARCHAR)), asg AS (SELECT seq_id, 'cluster_' || dense_rank() OVER (ORDER BY root) AS cluster_id, root AS representative_id, seq_id = root AS is_representative FROM q)"
+_ASSIGN = f"{_REACH}, q AS (SELECT cast(p_partkey AS VARCHAR) AS seq_id, coalesce(component, cast(p_partkey AS VARCHAR)) AS root FROM part LEFT JOIN m ON id = cast(p_partkey AS VARCHAR)), asg AS (SELECT seq_id, 'cluster_' || (dense_rank() OVER (ORDER BY root) - 1) AS cluster_id, root AS representative_id, seq_id = root AS is_representative FROM q)"
 
 
 def _chain(spark: SparkSession, d: str) -> DataFrame:
@@ -53,7 +53,14 @@ def component_clusters(spark, d):
     return _assigned(spark, d)
 
 
-@query()
+@query("""WITH RECURSIVE x AS (SELECT cast(p_partkey AS VARCHAR) AS id, p_brand, p_size, cast(trunc(p_retailprice * 10) AS BIGINT) AS length,
+  [cast(lag(p_partkey) OVER w AS VARCHAR), cast(lead(p_partkey) OVER w AS VARCHAR)] AS near FROM part WINDOW w AS (PARTITION BY p_brand, p_size ORDER BY p_partkey)),
+o AS (SELECT *, row_number() OVER (PARTITION BY p_brand, p_size ORDER BY length DESC, id) AS rn FROM x),
+f(p_brand, p_size, rn, id, rep, heads) AS (SELECT p_brand, p_size, rn, id, id, [id] FROM o WHERE rn = 1
+  UNION ALL SELECT o.p_brand, o.p_size, o.rn, o.id, coalesce(list_filter(f.heads, lambda c: list_contains(o.near, c))[1], o.id), CASE WHEN len(list_filter(f.heads, lambda c: list_contains(o.near, c))) > 0 THEN f.heads ELSE list_append(f.heads, o.id) END
+  FROM f JOIN o ON o.p_brand = f.p_brand AND o.p_size = f.p_size AND o.rn = f.rn + 1),
+k AS (SELECT f.id, row_number() OVER (ORDER BY length DESC, f.id) - 1 AS k FROM f JOIN o ON o.id = f.id WHERE f.id = f.rep)
+SELECT f.id AS seq_id, 'cluster_' || k AS cluster_id, rep AS representative_id, f.id = rep AS is_representative FROM f JOIN k ON k.id = rep""")
 def centroid_clusters(spark, d):
     return clusters.centroid_clusters(_nodes(spark, d), _chain(spark, d))
 
@@ -136,10 +143,11 @@ def correlation_groups(spark, d):
 
 # ---- termini --------------------------------------------------------------
 
-_ENDS = """d AS (SELECT doc_id, upper(text) AS s, strlen(text) AS n FROM documents WHERE strlen(text) = length(text) AND length(text) >= 6),
+_AZ = "'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ'"
+_ENDS = """d AS (SELECT doc_id, translate(text, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') AS s FROM documents WHERE length(text) >= 6),
 sig AS (SELECT doc_id, '5prime' AS end_label, 'fwd_on_5_end' AS found, substr(s, 1, 6) AS motif FROM d UNION ALL SELECT doc_id, '3prime', 'fwd_on_3_end', right(s, 6) FROM d
-  UNION ALL SELECT doc_id, '3prime', 'rc_on_3_end', translate(reverse(substr(r, 1, 6)), 'ACGTURYSWKMBDHVN', 'TGCAAYRSWMKVHDBN') FROM e UNION ALL SELECT doc_id, '5prime', 'rc_on_5_end', translate(reverse(right(r, 6)), 'ACGTURYSWKMBDHVN', 'TGCAAYRSWMKVHDBN') FROM e)"""
-_SIG = _ENDS.replace("sig AS", "e AS (SELECT doc_id, translate(reverse(s), 'ACGTURYSWKMBDHVN', 'TGCAAYRSWMKVHDBN') AS r FROM d), sig AS")
+  UNION ALL SELECT doc_id, '3prime', 'rc_on_3_end', translate(translate(right(s, 6), 'ACGTURYSWKMBDHVN', 'TGCAAYRSWMKVHDBN'), 'ACGTURYSWKMBDHVN', 'TGCAAYRSWMKVHDBN') FROM d UNION ALL SELECT doc_id, '5prime', 'rc_on_5_end', translate(translate(substr(s, 1, 6), 'ACGTURYSWKMBDHVN', 'TGCAAYRSWMKVHDBN'), 'ACGTURYSWKMBDHVN', 'TGCAAYRSWMKVHDBN') FROM d)"""
+_SIG = _ENDS  # an end that is turned twice is the end with each letter complemented twice
 
 
 def _signatures(spark, d, most=6):
@@ -171,10 +179,14 @@ def consensus(spark, d):
     return termini.consensus(read_table(spark, d, "documents").select("lang", F.left("text", F.lit(12)).alias("m")), ["lang"], "m")
 
 
-@query()
+@query("""WITH RECURSIVE g AS (SELECT substr(md5(p_brand || p_size), 1 + p_partkey % 3, 8 + p_partkey % 4) AS motif, min(p_partkey) AS group_id, count(*) AS n FROM part GROUP BY 1),
+e AS (SELECT x.group_id AS a, y.group_id AS b FROM g x JOIN g y ON length(x.motif) - length(y.motif) BETWEEN 1 AND 2 AND contains(x.motif, y.motif)), v AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+r(a, b) AS (SELECT a, b FROM v UNION SELECT r.a, v.b FROM r JOIN v ON v.a = r.b), c AS (SELECT a, least(a, min(b)) AS root FROM r GROUP BY a)
+SELECT coalesce(root, group_id) AS group_id, arg_min(motif, (-length(motif), -n, group_id)) AS motif, cast(sum(n) AS BIGINT) AS member_count, cast(count(*) AS INTEGER) AS sources FROM g LEFT JOIN c ON a = group_id GROUP BY 1""")
 def clip_collapse(spark, d):
-    groups = termini.number_groups(termini.exact_groups(_signatures(spark, d)))
-    return termini.collapse_clipped(groups.select("group_id", "motif", "members"), 2).select("group_id", "motif", "member_count", F.size("source_group_ids").alias("sources"))
+    motif = F.substr(F.md5(F.concat("p_brand", F.col("p_size").cast("string"))), (F.col("p_partkey") % 3 + 1).cast("int"), (F.col("p_partkey") % 4 + 8).cast("int"))
+    groups = read_table(spark, d, "part").groupBy(motif.alias("motif")).agg(F.min("p_partkey").alias("group_id"), F.count(F.lit(1)).alias("member_count"), F.collect_list("p_partkey").alias("members"))
+    return termini.collapse_clipped(groups, 2).select("group_id", "motif", "member_count", F.size("source_group_ids").alias("sources"))
 
 
 # ---- candidates, trees, motifs --------------------------------------------
@@ -226,7 +238,7 @@ def taxonomy_nearest_ancestor(spark, d):
     return taxonomy.nearest_ancestor(taxonomy.closure(nodes), nodes, data)
 
 
-@query(f"WITH RECURSIVE {_TREE}, s AS (SELECT DISTINCT o_orderpriority || (o_orderkey % 200) AS set_id, 100000 + o_custkey AS tax_id FROM orders WHERE o_orderkey % 5 = 0), z AS (SELECT set_id, count(*) AS n FROM s GROUP BY 1), h AS (SELECT set_id, anc, count(*) AS k, sum(dist) AS far FROM s JOIN cl USING (tax_id) GROUP BY ALL) SELECT set_id, arg_min(anc, far) AS lca FROM h JOIN z USING (set_id) WHERE k = n GROUP BY set_id")
+@query(f"WITH RECURSIVE {_TREE}, s AS (SELECT DISTINCT o_orderpriority || (o_orderkey % 200) AS set_id, 100000 + o_custkey AS tax_id FROM orders), z AS (SELECT set_id, count(*) AS n FROM s GROUP BY 1), h AS (SELECT set_id, anc, count(*) AS k, sum(dist) AS far FROM s JOIN cl USING (tax_id) GROUP BY ALL) SELECT set_id, arg_min(anc, far) AS lca FROM h JOIN z USING (set_id) WHERE k = n GROUP BY set_id")
 def taxonomy_lca(spark, d):
     sets = read_table(spark, d, "orders").select(F.concat("o_orderpriority", (F.col("o_orderkey") % 200).cast("string")).alias("set_id"), (F.col("o_custkey") + 100000).alias("tax_id"))
     return taxonomy.lowest_common_ancestor(taxonomy.closure(_tree(spark, d)), sets)
@@ -238,7 +250,8 @@ def taxonomy_rank_stats(spark, d):
     return taxonomy.rank_stats(nodes, _available(nodes))
 
 
-@query()
+@query(f"""WITH RECURSIVE {_TREE}, p AS (SELECT q.tax_id, x.tax_id AS leaf, q.dist + x.dist AS total, q.dist AS up FROM cl q JOIN cl x ON x.anc = q.anc JOIN av ON av.tax_id = x.tax_id AND available WHERE x.tax_id <> q.tax_id AND q.dist + x.dist <= 10)
+SELECT tax_id, arg_min(leaf, (total, up, leaf)) AS leaf, min(total) AS distance FROM p GROUP BY tax_id""")
 def taxonomy_nearest_leaf(spark, d):
     nodes = _tree(spark, d)
     return taxonomy.nearest_leaf(taxonomy.closure(nodes), nodes, _available(nodes))
@@ -250,7 +263,16 @@ def _motif_hits(spark, d):
     return read_table(spark, d, "events").select(F.col("user_id").cast("string").alias("query_name"), kind.alias("motif_type"), F.col("event_type").alias("motif_profile"), at.alias("ali_from"), (at + 15).alias("ali_to"), F.col("value").alias("score"), F.lit(1e-5).alias("evalue"))
 
 
-@query()
+_FITS = "NOT list_contains(f.ts, o.t) AND len([j for j in range(1, len(f.ts) + 1) if NOT ((o.s > f.es[j] OR o.e < f.ss[j]) AND greatest(o.s - f.es[j], f.ss[j] - o.e) <= 200)]) = 0"
+
+
+@query(f"""WITH RECURSIVE h AS (SELECT cast(user_id AS VARCHAR) AS q, ['A', 'B', 'C', 'D'][event_id % 4 + 1] AS t, event_id * 37 % 900 AS s, event_id * 37 % 900 + 15 AS e, value AS score FROM events),
+o AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, s, e, t) AS i FROM h WHERE score > CASE t WHEN 'A' THEN 10 WHEN 'B' THEN 11 WHEN 'C' THEN 5.9 ELSE 5 END),
+f(q, k, i, ts, ss, es, total) AS (SELECT q, i, cast(0 AS BIGINT), [t], [s], [e], score FROM o
+  UNION ALL SELECT q, k, i, CASE WHEN fits THEN list_append(ts, t) ELSE ts END, CASE WHEN fits THEN list_append(ss, s) ELSE ss END, CASE WHEN fits THEN list_append(es, e) ELSE es END, CASE WHEN fits THEN total + score ELSE total END
+  FROM (SELECT f.q, f.k, o.i, f.ts, f.ss, f.es, f.total, o.t, o.s, o.e, o.score, {_FITS} AS fits FROM f JOIN o ON o.q = f.q AND o.i = f.i + 1)),
+z AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY total DESC, list_min(ss), k) AS r FROM f JOIN (SELECT q, max(i) AS i FROM o GROUP BY q) USING (q, i))
+SELECT q AS query_name, round(total, 6) AS total_score, array_to_string(list_sort(ts), ';') AS motif_types, list_min(ss) AS first, list_max(es) AS last, cast(len(ts) AS INTEGER) AS n_motifs FROM z WHERE r = 1""")
 def motif_combination(spark, d):
     return motifs.combine(_motif_hits(spark, d)).withColumn("total_score", F.round("total_score", 6))
 

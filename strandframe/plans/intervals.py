@@ -123,21 +123,21 @@ def adaptive_threshold(spark, d):
 # ---- hits to edges --------------------------------------------------------
 
 _HSP = """x AS (SELECT l_suppkey AS query_id, l_partkey % 50 AS target_id, 100 - 100 * l_discount AS pident, l_quantity AS length,
-  l_linenumber * 10 AS qstart, l_linenumber * 10 + cast(l_quantity AS BIGINT) AS qend, l_linenumber * 7 AS sstart, l_linenumber * 7 + cast(l_quantity AS BIGINT) AS send, cast(120 AS BIGINT) AS qlen, cast(150 AS BIGINT) AS slen, l_orderkey, l_linenumber, l_partkey, l_extendedprice FROM lineitem),
-c AS (SELECT * FROM x WHERE query_id <> target_id),
-w AS (SELECT *, sum(length) OVER (PARTITION BY query_id, target_id ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice ROWS UNBOUNDED PRECEDING) - length AS cum FROM c),
-k AS (SELECT * FROM w WHERE cum < qlen AND length + cum < 1.10 * qlen)"""
+  l_linenumber * 10 AS qstart, l_linenumber * 10 + cast(l_quantity AS BIGINT) AS qend, l_linenumber * 7 AS sstart, l_linenumber * 7 + cast(l_quantity AS BIGINT) AS send, cast(120 AS BIGINT) AS qlen, cast(150 AS BIGINT) AS slen, CASE WHEN l_linenumber = 6 THEN 0.5 ELSE 0.0001 END AS evalue, l_orderkey, l_linenumber, l_partkey, l_extendedprice FROM lineitem),
+c AS (SELECT *, qend - qstart + 1 AS span FROM x WHERE query_id <> target_id AND evalue <= 0.001),
+w AS (SELECT *, sum(span) OVER (PARTITION BY query_id, target_id ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice ROWS UNBOUNDED PRECEDING) - span AS cum FROM c),
+k AS (SELECT * FROM w WHERE cum < qlen AND span + cum < 1.10 * qlen)"""
 _ORDER = ["l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice"]
 
 
 def _hsps(spark, d):
     n, q = F.col("l_linenumber"), F.col("l_quantity").cast("long")
-    return read_table(spark, d, "lineitem").select(F.col("l_suppkey").alias("query_id"), (F.col("l_partkey") % 50).alias("target_id"), (100 - 100 * F.col("l_discount")).alias("pident"), F.col("l_quantity").alias("length"), (n * 10).cast("long").alias("qstart"), (n * 10 + q).alias("qend"), (n * 7).cast("long").alias("sstart"), (n * 7 + q).alias("send"), F.lit(120).cast("long").alias("qlen"), F.lit(150).cast("long").alias("slen"), *_ORDER)
+    return read_table(spark, d, "lineitem").select(F.col("l_suppkey").alias("query_id"), (F.col("l_partkey") % 50).alias("target_id"), (100 - 100 * F.col("l_discount")).alias("pident"), F.col("l_quantity").alias("length"), (n * 10).cast("long").alias("qstart"), (n * 10 + q).alias("qend"), (n * 7).cast("long").alias("sstart"), (n * 7 + q).alias("send"), F.lit(120).cast("long").alias("qlen"), F.lit(150).cast("long").alias("slen"), F.when(n == 6, 0.5).otherwise(0.0001).alias("evalue"), *_ORDER)
 
 
 @query(f"WITH {_HSP} SELECT query_id, target_id, l_orderkey, l_linenumber, l_partkey, l_extendedprice FROM k")
 def hsp_prune(spark, d):
-    kept = hits.prune_hsps(hits.drop_self_hits(_hsps(spark, d)), "query_id", "target_id", "length", "qlen", _ORDER)
+    kept = hits.prune_hsps(hits.drop_self_hits(_hsps(spark, d)), "query_id", "target_id", "qlen", _ORDER)
     return kept.select("query_id", "target_id", *_ORDER)
 
 
@@ -162,14 +162,15 @@ def hsp_edges(spark, d):
 
 @query(f"WITH {_HSP}, {_axis('qc', 'qstart', 'qend', 'qlen')} SELECT * FROM qc")
 def hsp_coverage(spark, d):
-    kept = hits.prune_hsps(hits.drop_self_hits(_hsps(spark, d)), "query_id", "target_id", "length", "qlen", _ORDER)
+    kept = hits.prune_hsps(hits.drop_self_hits(_hsps(spark, d)), "query_id", "target_id", "qlen", _ORDER)
     return hits.pair_coverage(kept, "query_id", "target_id", {"query": ("qstart", "qend", "qlen")}).withColumnRenamed("query_coverage", "cov")
 
 
-@query(f"""WITH {_EDGES}, g AS (SELECT *, round(identity * query_coverage / 100, 2) AS global_ani_query, round(identity * target_coverage / 100, 2) AS global_ani_target FROM ed),
+@query(f"""WITH {_EDGES}, h AS (SELECT query_id, target_id, (cast(round(identity * 100) AS BIGINT) * cast(round(query_coverage * 100) AS BIGINT) + 5000) // 10000 AS gq, (cast(round(identity * 100) AS BIGINT) * cast(round(target_coverage * 100) AS BIGINT) + 5000) // 10000 AS gt FROM ed),
+g AS (SELECT *, gq / 100.0 AS global_ani_query, gt / 100.0 AS global_ani_target FROM h),
 l AS (SELECT s_suppkey AS seq_id, cast(s_nationkey + 1 AS BIGINT) AS length FROM supplier)
-SELECT query_id, target_id, global_ani_query, global_ani_target, CASE WHEN coalesce(a.length, 0) + coalesce(b.length, 0) = 0 THEN 0.0 ELSE round((global_ani_query * coalesce(a.length, 0) + global_ani_target * coalesce(b.length, 0)) / (coalesce(a.length, 0) + coalesce(b.length, 0)), 2) END AS tani
-FROM g LEFT JOIN l a ON a.seq_id = query_id LEFT JOIN l b ON b.seq_id = target_id""")
+SELECT query_id, target_id, cast(global_ani_query AS DOUBLE) AS global_ani_query, cast(global_ani_target AS DOUBLE) AS global_ani_target, cast(CASE WHEN la + lb = 0 THEN 0.0 ELSE (2 * (gq * la + gt * lb) + la + lb) // (2 * (la + lb)) / 100.0 END AS DOUBLE) AS tani
+FROM (SELECT g.*, coalesce(a.length, 0) AS la, coalesce(b.length, 0) AS lb FROM g LEFT JOIN l a ON a.seq_id = query_id LEFT JOIN l b ON b.seq_id = target_id)""")
 def tani(spark, d):
     lengths = read_table(spark, d, "supplier").select(F.col("s_suppkey").alias("seq_id"), (F.col("s_nationkey") + 1).cast("long").alias("length"))
     return hits.with_global_ani(_edges(spark, d), lengths).select("query_id", "target_id", "global_ani_query", "global_ani_target", "tani")

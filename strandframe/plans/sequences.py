@@ -56,26 +56,37 @@ def length_range_filter(spark, d):
     return filters.length_range(_docs(spark, d), "text", 500, 2000).select("doc_id", F.octet_length("text").cast("long").alias("length"))
 
 
-_RC = "translate(reverse(upper(text)), 'ACGTURYSWKMBDHVN', 'TGCAAYRSWMKVHDBN')"
+_AZ = "'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ'"
+_COMPLEMENT = "'ACGTURYSWKMBDHVN', 'TGCAAYRSWMKVHDBN'"
+_UP = f"translate(text, {_AZ})"
 
 
-@query(f"SELECT doc_id, md5({_RC}) AS rc FROM documents WHERE strlen(text) = length(text)")
+def _turned(s: str) -> str:
+    """Characters in reverse order, one by one (a built-in reverse would keep clusters together)."""
+    return f"translate(array_to_string(list_reverse(string_split({s}, '')), ''), {_COMPLEMENT})"
+
+
+_RC = _turned(_UP)
+
+
+@query(f"SELECT doc_id, md5({_RC}) AS rc FROM documents")
 def revcomp(spark, d):
     return _docs(spark, d).select("doc_id", F.md5(sq.revcomp(sq.upper_ascii(F.col("text")))).alias("rc"))
 
 
 def _map(code=1):
-    return "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in sq.translation_table(code).items()) + "}"
+    return "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in (sq.translation_table(code) | {"---": "-"}).items()) + "}"
 
 
-_CLEAN = r"replace(upper(regexp_replace(text, '\s+', '', 'g')), 'U', 'T')"
+_CLEAN = rf"string_split(replace(translate(regexp_replace(text, '[ \t\n\x0B\f\r]+', '', 'g'), {_AZ}), 'U', 'T'), '')"
 
 
 def _protein(strand: str, frame: int) -> str:
-    return f"array_to_string([coalesce(m[substr({strand}, i + {frame}, 3)], 'X') for i in range(0, length({strand}) - {frame + 1}, 3)], '')"
+    """Of an array of characters."""
+    return f"array_to_string([coalesce(m[{strand}[i + {frame}] || {strand}[i + {frame + 1}] || {strand}[i + {frame + 2}]], 'X') for i in range(0, len({strand}) - {frame + 1}, 3)], '')"
 
 
-@query(f"WITH s AS (SELECT doc_id, {_CLEAN} AS s, {_map()} AS m FROM documents WHERE strlen(text) = length(text)) SELECT doc_id, {_protein('s', 1)} AS protein FROM s")
+@query(f"WITH s AS (SELECT doc_id, {_CLEAN} AS s, {_map()} AS m FROM documents) SELECT doc_id, {_protein('s', 1)} AS protein FROM s")
 def translate_frame(spark, d):
     return _docs(spark, d).select("doc_id", sq.translate(F.col("text")).alias("protein"))
 
@@ -83,13 +94,13 @@ def translate_frame(spark, d):
 _SIX = " UNION ALL ".join(f"SELECT doc_id, cast({f} AS INTEGER) AS frame, md5({_protein('s' if f > 0 else 'r', abs(f))}) AS protein FROM s" for f in sq.FRAMES)
 
 
-@query(f"WITH c AS (SELECT doc_id, {_CLEAN} AS s, {_map(11)} AS m FROM documents WHERE strlen(text) = length(text)), s AS (SELECT *, translate(reverse(s), 'ACGTURYSWKMBDHVN', 'TGCAAYRSWMKVHDBN') AS r FROM c) {_SIX}")
+@query(f"WITH c AS (SELECT doc_id, {_CLEAN} AS s, {_map(11)} AS m FROM documents), s AS (SELECT *, list_transform(list_reverse(s), lambda x: translate(x, {_COMPLEMENT})) AS r FROM c) {_SIX}")
 def six_frame(spark, d):
     frames = _docs(spark, d).select("doc_id", F.explode(sq.six_frames(F.col("text"), 11)).alias("x"))
     return frames.select("doc_id", "x.frame", F.md5("x.protein").alias("protein"))
 
 
-@query(f"""WITH s AS (SELECT doc_id, {_CLEAN} AS s, {_map()} AS m FROM documents WHERE strlen(text) = length(text)),
+@query(f"""WITH s AS (SELECT doc_id, {_CLEAN} AS s, {_map()} AS m FROM documents),
 p AS (SELECT doc_id, unnest(string_split({_protein('s', 1)}, '*')) AS orf FROM s)
 SELECT doc_id, count(*) AS n_orfs, cast(max(length(orf)) AS BIGINT) AS longest FROM p WHERE length(orf) >= 16 GROUP BY doc_id""")
 def open_reading_frames(spark, d):
@@ -102,8 +113,8 @@ def seq_type_flags(spark, d):
     return _docs(spark, d).select("doc_id", sq.is_nucleotide(F.col("text")).alias("nucl"), sq.is_protein(F.col("text")).alias("amino"))
 
 
-@query("""WITH s AS (SELECT doc_id, upper(text) AS s FROM documents WHERE strlen(text) = length(text)),
-c AS (SELECT doc_id, unnest([substr(s, i + 1, 3) for i in range(0, length(s) - 2, 3)]) AS codon FROM s),
+@query(f"""WITH s AS (SELECT doc_id, string_split({_UP}, '') AS s FROM documents),
+c AS (SELECT doc_id, unnest([s[i + 1] || s[i + 2] || s[i + 3] for i in range(0, len(s) - 2, 3)]) AS codon FROM s),
 n AS (SELECT doc_id, codon, count(*) AS n FROM c WHERE NOT contains(codon, 'N') GROUP BY ALL)
 SELECT doc_id, count(*) AS codons, round(max(n) / sum(n), 6) AS top_share FROM n GROUP BY doc_id""")
 def codon_usage(spark, d):
@@ -182,7 +193,7 @@ def dedup_ignorecase(spark, d):
     return tables.deduplicate(_docs(spark, d), tables.dedup_key("seq", "doc_id", "text", ignore_case=True), ["doc_id"]).select("doc_id")
 
 
-@query(_FIRST.format(key=f"least(upper(text), {_RC})", where="WHERE strlen(text) = length(text)"))
+@query(_FIRST.format(key=f"coalesce(least({_UP}, {_RC}), '')", where=""))
 def dedup_revcomp(spark, d):
     return tables.deduplicate(_docs(spark, d), tables.dedup_key("seq", "doc_id", "text", revcomp=True), ["doc_id"]).select("doc_id")
 
@@ -245,8 +256,8 @@ def keyword_filter(spark, d):
   SELECT 'event' AS type, 'unknown' AS source, '+' AS strand, '.' AS phase, 1.0::DOUBLE AS evalue, value AS score, event_id AS "start" FROM events
   UNION ALL SELECT 'order', o_orderstatus, '+', '.', 1.0, o_totalprice, o_orderkey FROM orders) GROUP BY ALL""")
 def unify_schemas(spark, d):
-    ev = read_table(spark, d, "events").select(F.col("user_id").alias("contig_id"), F.col("event_id").alias("ali_from"), F.col("value").alias("bitscore"))
-    od = read_table(spark, d, "orders").select(F.col("o_custkey").alias("query"), F.col("o_orderkey").alias("qstart"), F.col("o_totalprice").alias("score"), F.col("o_orderstatus").alias("source"))
+    ev = read_table(spark, d, "events").select(F.col("user_id").alias("contig_id"), F.col("event_id").alias("seq_from"), F.col("value").alias("bit_score"))
+    od = read_table(spark, d, "orders").select(F.col("o_custkey").alias("query"), F.col("o_orderkey").alias("qstart"), F.col("o_totalprice").alias("score"), F.col("o_orderstatus").alias("tool"))
     u = filters.unify({"event": ev, "order": od})
     return u.groupBy("type", "source", "strand", "phase", "evalue").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("score"), 2).alias("score"), F.sum("start").alias("start"))
 

@@ -30,12 +30,12 @@ def _open(uri: str) -> tuple[pafs.FileSystem, str]:
 
 
 def list_files(uri: str, suffixes: tuple[str, ...] = SUFFIXES) -> list[tuple[str, int]]:
-    """Path and size of a file, or of all files below a folder with such a suffix (or it and .gz)."""
+    """Path and size of a file, or of all files below a folder with such a suffix (or it and .gz) or written by Spark."""
     fs, path = _open(uri)
     info = fs.get_file_info(path)
     if info.type == pafs.FileType.Directory:
         found = fs.get_file_info(pafs.FileSelector(path, recursive=True))
-        return sorted((f.path, f.size) for f in found if f.is_file and f.path.removesuffix(".gz").endswith(suffixes))
+        return sorted((f.path, f.size) for f in found if f.is_file and (f.path.removesuffix(".gz").endswith(suffixes) or f.base_name.startswith("part-")))
     if info.type == pafs.FileType.NotFound:
         raise FileNotFoundError(uri)
     return [(path, info.size)]

@@ -41,9 +41,9 @@ def read_ani(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_mmseqs(spark: SparkSession, path: str) -> DataFrame:
-    """12 or 14 columns; identities given as fractions (a largest of 1 or less) become percent."""
+    """12 or 14 columns; an identity of 1 or less is a fraction and becomes percent; all have two digits."""
     df = _typed(_text(spark, path), F.split("value", "\t"), HSP).where("query_id is not null and pident is not null")
-    return df.withColumn("pident", F.when(F.col("pident") <= 1, F.round(F.col("pident") * 100, 2)).otherwise(F.col("pident")))
+    return df.withColumn("pident", F.round(F.when(F.col("pident") <= 1, F.col("pident") * 100).otherwise(F.col("pident")), 2))
 
 
 def read_fixed_width(spark: SparkSession, path: str, widths: list[int], names: list[str], kinds: list[str] | None = None, comment: str = "#") -> DataFrame:
