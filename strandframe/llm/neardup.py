@@ -229,14 +229,13 @@ def _exclusive(open_: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
 
 
 def _lonely(open_: DataFrame, own: DataFrame, percent: int) -> DataFrame:
-    """Lone members (rep) whose own shingles rule out any link.
+    """Members without any link so far (rep, ``lone``) whose own shingles rule out any link.
 
     Of a set of n shingles, u of them its own, and one of m shingles or more,
     the index is at most (n - u) / (max(m, n - u) + u).
     """
     least = open_.groupBy("key").agg(F.min("n_shingles").alias("m"))
-    single = open_.join(open_.groupBy("comp").agg(F.min("rep").alias("x"), F.max("rep").alias("y")).where("x = y").select("comp"), "comp", "left_semi")
-    asked = single.join(least, "key").groupBy("rep").agg(F.first("n_shingles").alias("n"), F.min("m").alias("m"))
+    asked = open_.where("lone").join(least, "key").groupBy("rep").agg(F.first("n_shingles").alias("n"), F.min("m").alias("m"))
     most = 100 * (F.col("n") - F.col("u"))
     return asked.join(own, "rep").where(most < percent * (F.greatest(F.col("m"), F.col("n") - F.col("u")) + F.col("u"))).select("rep")
 
@@ -309,7 +308,7 @@ def near_duplicates(documents: DataFrame, shingle: int = SHINGLE, percent: int =
 
 def _still_open(crowd: DataFrame, facts: DataFrame, part: DataFrame) -> tuple[DataFrame, int]:
     """Members of crowds that hold several components, and how many rows these are."""
-    marked = crowd.select("key", "rep").join(part.select(F.col("id").alias("rep"), "component"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("comp"))
+    marked = crowd.select("key", "rep").join(part.select(F.col("id").alias("rep"), "component"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("comp"), F.col("component").isNull().alias("lone"))
     keys = marked.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
     inside = materialize(marked.join(keys, "key", "left_semi").join(facts.select("rep", "fame", "n_shingles").distinct(), "rep"), "neardup-open")
     return inside, inside.count()
