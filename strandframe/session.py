@@ -11,6 +11,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Whether Spark removes the shuffle files of a query once it has ended.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def local_session(app: str = "strandframe", cores: str = "*", partitions: int = 8) -> SparkSession:
     """A single-machine session for tests and benchmarks."""
     return (
@@ -46,14 +50,20 @@ def shared_dir(spark: SparkSession) -> str:
 
 def materialize(df: DataFrame, label: str = "t", compression: str | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends here,
-    and a lost executor costs a reread of files, not a recomputation.
+    and a lost executor costs a reread of files, not a recomputation. The
+    shuffle files of the step are no longer needed then and are removed.
 
     ``discard`` deletes the files once nothing reads them any more; what a
     returned lazy result still reads stays until the session's folder goes.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path, compression=compression)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path, compression=compression)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
     table = spark.read.schema(df.schema).parquet(path)
     table._written = path
     return table
