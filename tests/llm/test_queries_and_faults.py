@@ -179,3 +179,10 @@ def test_clashing_names_go_on(spark):
     out = mixing.stage(spark, docs, SF)
     assert out.count() == 20 and {"rate", "rate_before_before", "copies_before", "_score", "rate_before"} <= set(out.columns)
     assert quality.stage(spark, docs, SF).columns == docs.columns
+
+
+def test_repeats_of_hot_phrases_and_small_shards(spark, docs, monkeypatch):
+    monkeypatch.setattr(repeats, "HOT", 2)
+    monkeypatch.setattr(repeats, "SHARD", 7)
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
+    assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in repeats.remove_repeats(df, with_text=False).collect()} == brute.repeats(docs)
