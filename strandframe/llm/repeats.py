@@ -53,8 +53,8 @@ WINDOW, GRAM = 20, 9
 PHRASE = 6
 STEP = WINDOW - PHRASE + 1
 REACH = WINDOW - PHRASE
-SHARD = 20_000
-HOT, SALTS = 2_000, 16
+SHARD = 4_000
+HOT, SALTS = 256, 16
 LETTERS, FIRST_LETTER, GAP_LETTER = 2, 48, 33
 
 
