@@ -7,6 +7,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: Largest text that trains: a bound of the sample, not of what is scored.
+MOST_BYTES = 1 << 16
+
+
 def fold_of(doc_id: Column, folds: int) -> Column:
     """crc32 of the decimal text of doc_id, modulo folds."""
     return F.pmod(F.crc32(doc_id.cast("string")), F.lit(folds))
@@ -16,8 +20,10 @@ def sample(documents: DataFrame, labels: DataFrame, label: str, folds: int, held
     """At most ``limit`` labelled rows outside the held-out fold, as (doc_id, text, label, *extra).
 
     Which ones is decided by a hash of doc_id alone. Null labels and repeated
-    doc_ids (the least label stays) are settled first; the ids, bounded by
-    ``limit``, are broadcast to the scan of documents.
+    doc_ids (the least label and the least text stay) are settled first; the
+    ids, bounded by ``limit``, are broadcast to the scan of documents. Texts of
+    more than ``MOST_BYTES`` do not train, so the sample is bounded in bytes;
+    they are scored whole like all others.
     """
     ids = (
         labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label"))
@@ -29,7 +35,8 @@ def sample(documents: DataFrame, labels: DataFrame, label: str, folds: int, held
         .limit(limit)
     )
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *extra)
-    rows = docs.join(F.broadcast(ids), "doc_id").select("doc_id", "text", "label", *extra).collect()
+    some = docs.where(F.coalesce(F.octet_length("text"), F.lit(0)) <= MOST_BYTES).join(F.broadcast(ids), "doc_id")
+    rows = some.groupBy("doc_id").agg(F.min(F.struct("text", "label", *extra)).alias("r")).select("doc_id", "r.*").collect()
     return sorted((tuple(r) for r in rows), key=lambda r: (r[0], r[1] or ""))
 
 
