@@ -133,16 +133,25 @@ def spell(hashes: np.ndarray) -> np.ndarray:
 
 
 WIDTH = PHRASE + 2 * REACH
-PLACE = "code long, doc long, at long, left int, right int, around binary, n long"
+PLACE = ["doc", "at", "left", "right", "around"]
+TILE = "doc long, at long, left int, right int, around binary, code long, n long"
+DEALT = "shard long, kind int, doc long, at long, left int, right int, around binary"
 _OFFSETS = np.arange(-REACH, PHRASE + REACH)
 
 
-def _places(w: tv.Words, q: np.ndarray, left: np.ndarray, right: np.ndarray, code: np.ndarray, doc: np.ndarray, at: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-    """Phrases at word positions q with the hashes of the words around them, 0 beyond left and right."""
+def _places(w: tv.Words, q: np.ndarray, left: np.ndarray, right: np.ndarray, doc: np.ndarray, at: np.ndarray) -> list[pa.Array]:
+    """Columns of PLACE for phrases at word positions q: the hashes of the words around them are 0 beyond left and right."""
     inside = (_OFFSETS >= -left[:, None]) & (_OFFSETS < PHRASE + right[:, None])
     around = np.where(inside, w.hash[np.clip(q[:, None] + _OFFSETS, 0, max(len(w.hash) - 1, 0))], 0) if len(q) else np.zeros((0, WIDTH), np.uint64)
-    columns = [pa.array(code.view(np.int64)), pa.array(doc), pa.array(at), pa.array(left.astype(np.int32)), pa.array(right.astype(np.int32)), _rows(around), pa.array(n)]
-    return pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in PLACE.split(", ")])
+    return [pa.array(doc), pa.array(at), pa.array(left.astype(np.int32)), pa.array(right.astype(np.int32)), _rows(around)]
+
+
+def _deal(columns: list[pa.Array], shard: np.ndarray, kind: int) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(shard), pa.array(np.full(len(shard), kind, np.int32)), *columns], names=["shard", "kind", *PLACE])
+
+
+def _shard(code: np.ndarray, salt: np.ndarray, shards: int) -> np.ndarray:
+    return (tv.mix(code + np.uint64(1)) % np.uint64(shards)).astype(np.int64) * SALTS + salt
 
 
 def _rows(table: np.ndarray) -> pa.Array:
@@ -182,13 +191,16 @@ def _phrases(source: DataFrame, firsts: DataFrame) -> DataFrame:
                 most[held] = np.maximum(most[held], count[place[held]])
             owner = row[head][own]
             ids = part.column("doc_id").to_numpy(zero_copy_only=False)
-            yield _places(w, q, left, right, tv.ngrams(w.hash, PHRASE)[q], ids[owner].astype(np.int64), q - w.first[owner], most)
+            code = tv.ngrams(w.hash, PHRASE)[q] if len(q) else np.zeros(0, np.uint64)
+            columns = _places(w, q, left, right, ids[owner].astype(np.int64), q - w.first[owner])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(code.view(np.int64)), pa.array(most)], names=[*PLACE, "code", "n"])
 
-    return joined.mapInArrow(scan, PLACE)
+    return joined.mapInArrow(scan, TILE)
 
 
-def _occurrences(source: DataFrame, anchors, phrases) -> DataFrame:
-    """Places of stretches that may recur at which a phrase may begin."""
+def _occurrences(source: DataFrame, anchors, phrases, hot, shards: int) -> DataFrame:
+    """Places of stretches that may recur at which a phrase may begin, each for one shard;
+    of hot phrases, the document chooses the salt."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in tv.slices(batches):
@@ -215,9 +227,24 @@ def _occurrences(source: DataFrame, anchors, phrases) -> DataFrame:
             ids = part.column("doc_id").to_numpy(zero_copy_only=False)
             for k in range(0, len(q), 20_000):
                 cut = slice(k, k + 20_000)
-                yield _places(w, q[cut], left[cut], right[cut], code[cut], ids[owner[cut]].astype(np.int64), q[cut] - w.first[owner[cut]], np.zeros(len(q[cut]), np.int64))
+                doc = ids[owner[cut]].astype(np.int64)
+                salt = np.where(hot.value.has(code[cut]), (tv.mix(doc.view(np.uint64) + np.uint64(7)) % np.uint64(SALTS)).astype(np.int64), 0)
+                yield _deal(_places(w, q[cut], left[cut], right[cut], doc, q[cut] - w.first[owner[cut]]), _shard(code[cut], salt, shards), 1)
+
+    return source.mapInArrow(scan, DEALT)
+
 
-    return source.mapInArrow(scan, PLACE)
+def _tiles(phrases: DataFrame, hot, shards: int) -> DataFrame:
+    """The phrases for their shards; hot ones for all salts."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            code = batch.column("code").to_numpy(zero_copy_only=False).view(np.uint64)
+            copies = np.where(hot.value.has(code), SALTS, 1)
+            pick = np.repeat(np.arange(len(code)), copies)
+            yield _deal(batch.select(PLACE).take(pa.array(pick)).columns, _shard(code[pick], tv.spread(copies), shards), 0)
+
+    return phrases.mapInArrow(scan, DEALT)
 
 
 class Shard:
@@ -272,30 +299,10 @@ def _letters(around: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(own).view(f"S{PHRASE * LETTERS}").ravel()
 
 
-def _located(phrases: DataFrame, places: DataFrame, shards: int, hot) -> DataFrame:
-    """doc and its repeats as an array of (begin, end) in words."""
-
-    def dealt(frame: DataFrame, tile: bool) -> DataFrame:
-        """Shard and salt of each row: phrases that are hot go to all salts, their occurrences to one by document."""
-
-        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                code = batch.column("code").to_numpy(zero_copy_only=False).view(np.uint64)
-                common = hot.value.has(code)
-                shard = (tv.mix(code + np.uint64(1)) % np.uint64(shards)).astype(np.int64)
-                if tile:
-                    copies = np.where(common, SALTS, 1)
-                    pick, salt = np.repeat(np.arange(len(code)), copies), tv.spread(copies)
-                else:
-                    doc = batch.column("doc").to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-                    pick, salt = np.arange(len(code)), np.where(common, (tv.mix(doc + np.uint64(7)) % np.uint64(SALTS)).astype(np.int64), 0)
-                rows = batch.select(kept).take(pa.array(pick))
-                yield pa.RecordBatch.from_arrays([pa.array(shard[pick] * SALTS + salt), pa.array(np.full(len(pick), 0 if tile else 1, np.int32)), *rows.columns], names=["shard", "kind", *kept])
-
-        return frame.mapInArrow(scan, "shard long, kind int, doc long, at long, left int, right int, around binary")
+def _located(dealt: DataFrame, shards: int) -> DataFrame:
+    """doc and its repeats as an array of (begin, end) in words. A task reads a few shards, one after another."""
 
-    kept = ["doc", "at", "left", "right", "around"]
-    rows = dealt(phrases, True).union(dealt(places, False)).repartition("shard").sortWithinPartitions("shard", "kind")
+    rows = dealt.repartition(max(1, -(-shards // 2)), "shard").sortWithinPartitions("shard", "kind")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held, machine = None, [], None
@@ -331,7 +338,9 @@ def remove_repeats(documents: DataFrame, with_text: bool = True) -> DataFrame:
     n = phrases.count()
     common = phrases.where(F.col("n") >= HOT).select(F.col("code").alias("h")).distinct()
     known, frequent = share(bitmaps.build(phrases.select(F.col("code").alias("h")), n)), share(bitmaps.build(common, common.count()))
-    marks = materialize(_located(phrases, _occurrences(keyed, anchors, known), max(1, -(-n // SHARD)), frequent), "repeat-marks")
+    shards = max(1, -(-n // SHARD))
+    dealt = _tiles(phrases, frequent, shards).union(_occurrences(keyed, anchors, known, frequent, shards))
+    marks = materialize(_located(dealt, shards), "repeat-marks")
     for shared in (anchors, known, frequent):
         shared.destroy()
     discard(hot, firsts, phrases)
