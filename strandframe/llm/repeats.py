@@ -55,6 +55,8 @@ STEP = WINDOW - PHRASE + 1
 REACH = WINDOW - PHRASE
 SHARD = 4_000
 HOT, SALTS = 256, 16
+#: Bytes of text worked on at a time; all arrays of a step are some 30 times as large.
+SLICE_BYTES = 1 << 20
 LETTERS, FIRST_LETTER, GAP_LETTER = 2, 48, 33
 
 
@@ -83,7 +85,7 @@ def window_anchors(w: tv.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def _anchors(source: DataFrame) -> DataFrame:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in tv.slices(batches):
+        for part in tv.slices(batches, most=SLICE_BYTES):
             w = tv.words(*tv.utf8(part.column("text")))
             _, place, grams = window_anchors(w)
             chosen = np.zeros(len(grams), bool)
@@ -97,7 +99,7 @@ def _recurring(source: DataFrame, bitmap) -> DataFrame:
     """doc and start of the first occurrence of each recurring window, and how many it has."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in tv.slices(batches):
+        for part in tv.slices(batches, most=SLICE_BYTES):
             w = tv.words(*tv.utf8(part.column("text")), second=True)
             starts, place, grams = window_anchors(w)
             starts = starts[bitmap.value.has(grams[place])]
@@ -167,7 +169,7 @@ def _phrases(source: DataFrame, firsts: DataFrame) -> DataFrame:
     joined = source.join(starts, F.col("doc_id") == F.col("doc")).select("doc_id", "text", F.transform("firsts", lambda x: x["start"]).alias("starts"), F.transform("firsts", lambda x: x["n"]).alias("counts"))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in tv.slices(batches):
+        for part in tv.slices(batches, most=SLICE_BYTES):
             w = tv.words(*tv.utf8(part.column("text")))
             lists = part.column("starts")
             row = np.repeat(np.arange(part.num_rows), np.diff(lists.offsets.to_numpy()))
@@ -203,7 +205,7 @@ def _occurrences(source: DataFrame, anchors, phrases, hot, shards: int) -> DataF
     of hot phrases, the document chooses the salt."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in tv.slices(batches):
+        for part in tv.slices(batches, most=SLICE_BYTES):
             w = tv.words(*tv.utf8(part.column("text")))
             starts, place, grams = window_anchors(w)
             starts = starts[anchors.value.has(grams[place])]
@@ -347,7 +349,7 @@ def remove_repeats(documents: DataFrame, with_text: bool = True) -> DataFrame:
     joined = source.join(marks, F.col("doc_id") == F.col("doc"), "left").select("doc_id", "text", F.transform("repeats", lambda x: x["begin"]).alias("begin"), F.transform("repeats", lambda x: x["end"]).alias("end"))
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in tv.slices(batches):
+        for part in tv.slices(batches, most=SLICE_BYTES):
             buf, offsets = tv.utf8(part.column("text"))
             w = tv.words(buf, offsets)
             depth = np.zeros(len(w.hash) + 1, np.int64)
