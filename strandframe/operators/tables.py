@@ -40,9 +40,9 @@ def markdown_report(stats: DataFrame) -> str:
 
 def dedup_key(by: str, name: str, seq: str, ignore_case: bool = False, revcomp: bool = False) -> Column:
     key = {"id": F.substring_index(name, " ", 1), "name": F.col(name), "seq": F.col(seq)}[by]
-    strands = revcomp and by == "seq"
-    key = sq.upper_ascii(key) if strands else F.upper(key) if ignore_case else key
-    return F.least(key, sq.revcomp(key)) if strands else key
+    if revcomp and by == "seq":
+        return sq.least_strand(key)
+    return F.upper(key) if ignore_case else key
 
 
 def deduplicate(df: DataFrame, key: Column, order: list[str]) -> DataFrame:

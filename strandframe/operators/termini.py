@@ -33,18 +33,18 @@ def signatures(df: DataFrame, id_: str, seq: str, least: int, most: int, strand:
     if strand not in ("plus", "minus", "both"):
         raise ValueError(f"no strand {strand!r}")
     base = df.select(F.col(id_).alias("contig_id"), F.col(seq).alias("s"), F.char_length(seq).alias("n")).where(F.col("n") >= least)
+    # only the ends are turned, and a sequence is read once for all of them
+    ends = base.select("contig_id", "n", F.left("s", F.lit(most)).alias("head"), F.right("s", F.lit(most)).alias("tail"))
     parts = []
     for plus in [True] * (strand != "minus") + [False] * (strand != "plus"):
-        side = base if plus else base.withColumn("s", sq.revcomp(F.col("s")))
         for end in ("5prime", "3prime"):
-            cut = (lambda k: F.left("s", F.lit(k))) if end == "5prime" else (lambda k: F.right("s", F.lit(k)))
-            turn = (lambda c: c) if plus else sq.revcomp
             name = end if plus else {"5prime": "3prime", "3prime": "5prime"}[end]
+            full = F.col("head" if name == "5prime" else "tail")
+            least_part = F.left(full, F.lit(least)) if name == "5prime" else F.right(full, F.lit(least))
+            turn = (lambda c: c) if plus else (lambda c: sq.revcomp(sq.revcomp(c)))
             start = F.lit(1).cast("long") if name == "5prime" else (F.col("n") - least + 1).cast("long")
-            parts.append(side.select("contig_id", F.lit(f"{'+' if plus else '-'}_{end}").alias("terminus"), F.lit(name).alias("end_label"), F.lit("+" if plus else "-").alias("strand_label"), turn(cut(least)).alias("motif_min"), turn(cut(most)).alias("motif_full"), start.alias("motif_start"), (start + least - 1).alias("motif_stop")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.union(p)
+            parts.append(F.struct(F.lit(f"{'+' if plus else '-'}_{end}").alias("terminus"), F.lit(name).alias("end_label"), F.lit("+" if plus else "-").alias("strand_label"), turn(least_part).alias("motif_min"), turn(full).alias("motif_full"), start.alias("motif_start"), (start + least - 1).alias("motif_stop")))
+    out = ends.select("contig_id", F.explode(F.array(*parts)).alias("x")).select("contig_id", "x.*")
     return out.where("motif_min is not null and motif_min <> ''").withColumn("found_in", found_label(F.col("strand_label"), F.col("end_label")))
 
 
