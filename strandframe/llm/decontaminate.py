@@ -1,6 +1,6 @@
 """Benchmark decontamination with one FM-index per training shard.
 
-A shard is a slice of an Arrow batch (about 4 MB of text). Its words become
+A shard is a slice of an Arrow batch (about 2 MB of text). Its words become
 integers: words that occur in no test phrase cannot be part of a hit, so only
 runs of test-vocabulary words that are at least as long as the shortest phrase
 are kept; they are joined with a separator and indexed. All phrases are then

@@ -21,7 +21,7 @@ import pyarrow as pa
 U64 = np.uint64
 BASE = 0x9E3779B97F4A7C15
 BASE2 = 0xC2B2AE3D27D4EB4F
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 PIECE_BYTES = 1 << 20
 
 
