@@ -56,7 +56,8 @@ def deduplicate(df: DataFrame, key: Column, order: list[str]) -> DataFrame:
     keyed = df.withColumn("_key", digest)
     best = keyed.select("_key", F.struct(*order).alias("_order")).groupBy("_key").agg(F.min("_order").alias("_order"))
     kept = best.select(F.col("_key").alias("_kept"), *[F.col(f"_order.{c}").alias(f"_kept_{c}") for c in order])
-    same = reduce(operator.and_, [keyed[c].eqNullSafe(kept[f"_kept_{c}"]) for c in order], keyed["_key"] == kept["_kept"])
+    # null-safe on the key too, though no digest is null: a plain equality adds a filter on the scan that computes the digest twice
+    same = reduce(operator.and_, [keyed[c].eqNullSafe(kept[f"_kept_{c}"]) for c in order], keyed["_key"].eqNullSafe(kept["_kept"]))
     # rows that the order does not tell apart lie in one partition after the join; one of them stays
     return keyed.join(kept, same, "left_semi").dropDuplicates(["_key", *order]).drop("_key")
 

@@ -7,8 +7,10 @@ from collections import Counter
 from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
 from strandframe.functions import sequence as sq
+from strandframe.operators import tables
 from strandframe.plans import catalog
 
 SF = Path("/root/testdata/sf0.001")
@@ -75,3 +77,23 @@ def test_dedup_revcomp(spark, docs):
     for k in sorted(docs):
         first.setdefault(min(upper(docs[k]), revcomp(upper(docs[k]))), k)
     assert {r.doc_id for r in rows(spark, "dedup_revcomp")} & set(docs) == set(first.values())
+
+
+def test_strand_keys_are_computed_once_a_side(spark):
+    """No filter on the scan computes the key of deduplication a second time."""
+    df = spark.createDataFrame([(1, "ACGT"), (2, "acgt"), (3, "é"), (4, None), (5, "")], "id long, s string")
+    kept = tables.deduplicate(df, sq.least_strand("s"), ["id"])
+    assert kept._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 2
+    assert sorted(r.id for r in kept.collect()) == [1, 3, 4]
+
+
+def test_translation_of_gaps_spaces_and_other_letters(spark):
+    text = "a t\ng---tuu\u00a0éA-CN\x00ACGTA"
+    clean = text.replace(" ", "").replace("\n", "").upper().replace("U", "T")
+    strand = {1: clean, -1: clean[::-1].translate(str.maketrans("ACGT", "TGCA"))}
+    table = sq.translation_table(11) | {"---": "-"}
+    for sign, whole in strand.items():
+        for at in (1, 2, 3):
+            row = spark.createDataFrame([(text,), ("",), (" ac ",), (None,)], "s string").select(sq.translate(F.col("s"), sign * at, 11)).collect()
+            want = "".join(table.get(whole[i : i + 3], "X") for i in range(at - 1, len(whole) - 2, 3))
+            assert [r[0] for r in row] == [want, "", "", None]
