@@ -1,8 +1,13 @@
-"""What the trained scorers share: the bounded labelled sample and the score query."""
+"""What the trained scorers share: the labelled rows, bounded or all, fits in a task and the score query."""
 
 from __future__ import annotations
 
+import pickle
+from collections.abc import Callable, Iterator
+from typing import Any
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,8 +21,19 @@ def fold_of(doc_id: Column, folds: int) -> Column:
     return F.pmod(F.crc32(doc_id.cast("string")), F.lit(folds))
 
 
-def sample(documents: DataFrame, labels: DataFrame, label: str, folds: int, held: int, limit: int, extra: tuple[str, ...] = ()) -> list:
-    """At most ``limit`` labelled rows outside the held-out fold, as (doc_id, text, label, *extra).
+def labelled_ids(labels: DataFrame, label: str, folds: int, held: int) -> DataFrame:
+    """doc_id and label of every labelled row outside the held-out fold; of repeated ids the least label."""
+    return (
+        labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label"))
+        .where("doc_id is not null and label is not null")
+        .where(fold_of(F.col("doc_id"), folds) != held)
+        .groupBy("doc_id")
+        .agg(F.min("label").alias("label"))
+    )
+
+
+def sample_rows(documents: DataFrame, labels: DataFrame, label: str, folds: int, held: int, limit: int, extra: tuple[str, ...] = ()) -> DataFrame:
+    """At most ``limit`` labelled rows outside the held-out fold: doc_id, text, label, *extra.
 
     Which ones is decided by a hash of doc_id alone. Null labels and repeated
     doc_ids (the least label and the least text stay) are settled first; the
@@ -25,21 +41,34 @@ def sample(documents: DataFrame, labels: DataFrame, label: str, folds: int, held
     more than ``MOST_BYTES`` do not train, so the sample is bounded in bytes;
     they are scored whole like all others.
     """
-    ids = (
-        labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label"))
-        .where("doc_id is not null and label is not null")
-        .where(fold_of(F.col("doc_id"), folds) != held)
-        .groupBy("doc_id")
-        .agg(F.min("label").alias("label"))
-        .orderBy(F.xxhash64("doc_id"), "doc_id")
-        .limit(limit)
-    )
+    ids = labelled_ids(labels, label, folds, held).orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *extra)
     some = docs.where(F.coalesce(F.octet_length("text"), F.lit(0)) <= MOST_BYTES).join(F.broadcast(ids), "doc_id")
-    rows = some.groupBy("doc_id").agg(F.min(F.struct("text", "label", *extra)).alias("r")).select("doc_id", "r.*").collect()
+    return some.groupBy("doc_id").agg(F.min(F.struct("text", "label", *extra)).alias("r")).select("doc_id", "r.*")
+
+
+def sample(documents: DataFrame, labels: DataFrame, label: str, folds: int, held: int, limit: int, extra: tuple[str, ...] = ()) -> list:
+    """The rows of ``sample_rows`` as tuples by doc_id."""
+    rows = sample_rows(documents, labels, label, folds, held, limit, extra).collect()
     return sorted((tuple(r) for r in rows), key=lambda r: (r[0], r[1] or ""))
 
 
+def fitted(rows: DataFrame, fit: Callable[[list[tuple]], Any]) -> Any:
+    """``fit`` of a bounded table's rows, sorted by the first two columns, run in one task: neither texts nor the fit take the driver's memory."""
+    names = rows.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got: list[tuple] = []
+        for batch in batches:
+            columns = [c.cast(pa.binary()) if pa.types.is_string(c.type) else c for c in batch.columns]
+            got += zip(*([x.decode(errors="replace") if isinstance(x, bytes) else x for x in c.to_pylist()] for c in columns), strict=True)
+        got.sort(key=lambda r: (r[0], r[1] or ""))
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(got))], pa.binary())], names=["model"])
+
+    made = rows.select(*names).repartition(1).mapInArrow(run, "model binary").collect()
+    return pickle.loads(made[0].model) if made else fit([])
+
+
 def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 

@@ -97,9 +97,12 @@ class DomainModel:
 
 def train(documents: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> DomainModel:
     """From at most ``rows`` labelled documents (a documented bound) and their languages."""
-    got = labelled.sample(documents, labels, "quality", 1, -1, rows, ("lang",))
-    got = [r for r in got if r[3] is not None]
-    return DomainModel().fit([(r[1] or "").encode() for r in got], [str(r[3]) for r in got])
+
+    def fit(got: list[tuple]) -> DomainModel:
+        got = [r for r in got if r[3] is not None]
+        return DomainModel().fit([(r[1] or "").encode() for r in got], [str(r[3]) for r in got])
+
+    return labelled.fitted(labelled.sample_rows(documents, labels, "quality", 1, -1, rows, ("lang",)), fit)
 
 
 def memberships(documents: DataFrame, model: DomainModel, keep: list[str]) -> DataFrame:

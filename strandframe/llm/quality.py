@@ -156,8 +156,8 @@ class ByteNet:
 
 
 def train(documents: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> ByteNet:
-    got = labelled.sample(documents, labels, "quality", FOLDS, HELD, rows)
-    return ByteNet().fit([(r[1] or "").encode() for r in got], np.array([r[2] for r in got], np.float32))
+    some = labelled.sample_rows(documents, labels, "quality", FOLDS, HELD, rows)
+    return labelled.fitted(some, lambda got: ByteNet().fit([(r[1] or "").encode() for r in got], np.array([r[2] for r in got], np.float32)))
 
 
 def with_score(documents: DataFrame, net: ByteNet, keep: list[str] | None = None, name: str = "score") -> DataFrame:
