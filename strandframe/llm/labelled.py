@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: Largest text that trains: a bound of the sample, not of what is scored.
 MOST_BYTES = 1 << 16
+#: Most ids that are sent to all executors; more are joined by a shuffle.
+BROADCAST_IDS = 1 << 20
 
 
 def fold_of(doc_id: Column, folds: int) -> Column:
@@ -47,6 +49,22 @@ def sample_rows(documents: DataFrame, labels: DataFrame, label: str, folds: int,
     return some.groupBy("doc_id").agg(F.min(F.struct("text", "label", *extra)).alias("r")).select("doc_id", "r.*")
 
 
+def every_row(documents: DataFrame, labels: DataFrame, label: str, folds: int, held: int, size: int, extra: tuple[str, ...] = ()) -> tuple[DataFrame, int]:
+    """All labelled rows outside the held-out fold: shard, doc_id, text, label, *extra; and the number of shards.
+
+    Texts of any length are in. A shard has about ``size`` rows, chosen and
+    ordered by hashes of doc_id; repeated doc_ids are settled as in
+    ``sample_rows``. Few ids are broadcast to the scan of documents.
+    """
+    ids = labelled_ids(labels, label, folds, held)
+    n = ids.count()
+    shards = max(1, -(-n // size))
+    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *extra)
+    some = docs.join(F.broadcast(ids) if n <= BROADCAST_IDS else ids, "doc_id").withColumn("shard", F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(shards)).cast("int"))
+    own = some.repartition(shards, "shard").groupBy("shard", "doc_id").agg(F.min(F.struct("text", "label", *extra)).alias("r"))
+    return own.select("shard", "doc_id", "r.*").sortWithinPartitions("shard", F.xxhash64("doc_id"), "doc_id"), shards
+
+
 def sample(documents: DataFrame, labels: DataFrame, label: str, folds: int, held: int, limit: int, extra: tuple[str, ...] = ()) -> list:
     """The rows of ``sample_rows`` as tuples by doc_id."""
     rows = sample_rows(documents, labels, label, folds, held, limit, extra).collect()
