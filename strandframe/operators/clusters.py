@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialize
+from ..session import dealt, materialize
 from .components import connected_components
 from .tables import number_rows
 
@@ -27,11 +27,11 @@ def component_clusters(nodes: DataFrame, edges: DataFrame, excluded: DataFrame |
     """
     ids = nodes.select("seq_id").distinct()
     part = connected_components(edges, "query_id", "target_id")
-    member = ids.join(part.select(F.col("id").alias("seq_id"), "component"), "seq_id", "left").select("seq_id", F.coalesce("component", "seq_id").alias("root"))
-    barred = member.withColumn("_bad", F.lit(0)) if excluded is None else member.join(excluded.select("seq_id").distinct().withColumn("_out", F.lit(1)), "seq_id", "left").withColumn("_bad", F.coalesce("_out", F.lit(0))).drop("_out")
+    member = ids.join(dealt(part.select(F.col("id").alias("seq_id"), "component")), "seq_id", "left").select("seq_id", F.coalesce("component", "seq_id").alias("root"))
+    barred = member.withColumn("_bad", F.lit(0)) if excluded is None else member.join(dealt(excluded.select("seq_id").distinct().withColumn("_out", F.lit(1))), "seq_id", "left").withColumn("_bad", F.coalesce("_out", F.lit(0))).drop("_out")
     rep = barred.groupBy("root").agg(F.min(F.struct("_bad", "seq_id"))["seq_id"].alias("representative_id"))
     named = _number(rep, [F.col("root")]).select("root", "representative_id", F.concat(F.lit(prefix), F.col("_n").cast("string")).alias("cluster_id"))
-    return barred.join(named, "root").select("seq_id", "cluster_id", "representative_id", (F.col("seq_id") == F.col("representative_id")).alias("is_representative"))
+    return barred.join(dealt(named), "root").select("seq_id", "cluster_id", "representative_id", (F.col("seq_id") == F.col("representative_id")).alias("is_representative"))
 
 
 def centroid_clusters(nodes: DataFrame, edges: DataFrame, excluded: DataFrame | None = None, prefix: str = "cluster_") -> DataFrame:
@@ -42,11 +42,11 @@ def centroid_clusters(nodes: DataFrame, edges: DataFrame, excluded: DataFrame |
     inside, the greedy order is kept. Sequences without edges never reach Python.
     """
     ids = nodes.select("seq_id", "length")
-    ids = ids.withColumn("_bad", F.lit(0)) if excluded is None else ids.join(excluded.select("seq_id").distinct().withColumn("_out", F.lit(1)), "seq_id", "left").select("seq_id", "length", F.coalesce("_out", F.lit(0)).alias("_bad"))
+    ids = ids.withColumn("_bad", F.lit(0)) if excluded is None else ids.join(dealt(excluded.select("seq_id").distinct().withColumn("_out", F.lit(1))), "seq_id", "left").select("seq_id", "length", F.coalesce("_out", F.lit(0)).alias("_bad"))
     part = connected_components(edges, "query_id", "target_id").withColumnRenamed("id", "seq_id")
-    linked = ids.join(part, "seq_id")
+    linked = ids.join(dealt(part), "seq_id")
     both = edges.select(F.col("query_id").alias("seq_id"), F.col("target_id").alias("other")).union(edges.select("target_id", "query_id")).where("seq_id <> other").distinct()
-    near = linked.join(both.groupBy("seq_id").agg(F.collect_list("other").alias("near")), "seq_id")
+    near = linked.join(dealt(both.groupBy("seq_id").agg(F.collect_list("other").alias("near"))), "seq_id")
 
     def greedy(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["_bad", "length", "seq_id"], ascending=[True, False, True])
@@ -61,11 +61,11 @@ def centroid_clusters(nodes: DataFrame, edges: DataFrame, excluded: DataFrame |
         return pd.DataFrame(out, columns=["seq_id", "representative_id"])
 
     joined = near.groupBy("component").applyInPandas(greedy, "seq_id string, representative_id string")
-    alone = ids.join(both.select("seq_id").distinct(), "seq_id", "left_anti").select("seq_id", F.col("seq_id").alias("representative_id"))
+    alone = ids.join(dealt(both.select("seq_id").distinct()), "seq_id", "left_anti").select("seq_id", F.col("seq_id").alias("representative_id"))
     member = materialize(joined.union(alone), "centroids")
-    heads = member.where("seq_id = representative_id").select("representative_id").join(ids.withColumnRenamed("seq_id", "representative_id"), "representative_id")
+    heads = member.where("seq_id = representative_id").select("representative_id").join(dealt(ids.withColumnRenamed("seq_id", "representative_id")), "representative_id")
     named = _number(heads, [F.col("_bad"), F.desc("length"), F.col("representative_id")])
-    return member.join(named.select("representative_id", F.concat(F.lit(prefix), F.col("_n").cast("string")).alias("cluster_id")), "representative_id").select("seq_id", "cluster_id", "representative_id", (F.col("seq_id") == F.col("representative_id")).alias("is_representative"))
+    return member.join(dealt(named.select("representative_id", F.concat(F.lit(prefix), F.col("_n").cast("string")).alias("cluster_id"))), "representative_id").select("seq_id", "cluster_id", "representative_id", (F.col("seq_id") == F.col("representative_id")).alias("is_representative"))
 
 
 def with_edge_values(assigned: DataFrame, edges: DataFrame) -> DataFrame:
@@ -74,7 +74,7 @@ def with_edge_values(assigned: DataFrame, edges: DataFrame) -> DataFrame:
     both = edges.select("query_id", "target_id", "identity", cov).union(edges.select("target_id", "query_id", "identity", cov))
     best = both.groupBy(F.col("query_id").alias("seq_id"), F.col("target_id").alias("representative_id")).agg(F.max("identity").alias("i"), F.max("cov").alias("c"))
     value = lambda c: F.when(F.col("is_representative"), F.lit(100.0)).otherwise(F.col(c))
-    return assigned.join(best, ["seq_id", "representative_id"], "left").withColumns({"identity_to_representative": value("i"), "coverage_to_representative": value("c")}).drop("i", "c")
+    return assigned.join(dealt(best), ["seq_id", "representative_id"], "left").withColumns({"identity_to_representative": value("i"), "coverage_to_representative": value("c")}).drop("i", "c")
 
 
 def cluster_summary(assigned: DataFrame) -> DataFrame:
@@ -90,7 +90,7 @@ def cluster_stats(assigned: DataFrame) -> DataFrame:
 
 def marker_summary(assigned: DataFrame, info: DataFrame) -> DataFrame:
     """Counts by marker type and samples of each cluster; info: seq_id, marker_type, sample_id, seq_length."""
-    j = assigned.join(info, "seq_id", "left")
+    j = assigned.join(dealt(info), "seq_id", "left")
     return j.groupBy("cluster_id").agg(
         F.count(F.lit(1)).alias("member_count"),
         F.count_if(F.col("marker_type") == "a").alias("n_a"),
@@ -107,7 +107,7 @@ def presence_matrix(rows: DataFrame, row: str, column: str, values: list | None
 
 
 def representatives(sequences: DataFrame, assigned: DataFrame, id_: str) -> DataFrame:
-    return sequences.join(assigned.where("is_representative").select(F.col("seq_id").alias(id_)), id_, "left_semi")
+    return sequences.join(dealt(assigned.where("is_representative").select(F.col("seq_id").alias(id_))), id_, "left_semi")
 
 
 def agreement(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -116,7 +116,7 @@ def agreement(a: DataFrame, b: DataFrame) -> DataFrame:
     Pairs are counted by sizes of cells, never listed: a cell of n sequences has
     n*(n-1)/2 pairs.
     """
-    j = a.select("seq_id", F.col("cluster_id").alias("ca")).join(b.select("seq_id", F.col("cluster_id").alias("cb")), "seq_id")
+    j = a.select("seq_id", F.col("cluster_id").alias("ca")).join(dealt(b.select("seq_id", F.col("cluster_id").alias("cb"))), "seq_id")
     pairs = lambda *keys: j.groupBy(*keys).count().agg(F.coalesce(F.sum(F.col("count") * (F.col("count") - 1) / 2), F.lit(0.0)).alias("p"))
     both, one, two = pairs("ca", "cb").withColumnRenamed("p", "both_pairs"), pairs("ca").withColumnRenamed("p", "a_pairs"), pairs("cb").withColumnRenamed("p", "b_pairs")
     out = both.crossJoin(one).crossJoin(two)  # one row each
@@ -126,6 +126,6 @@ def agreement(a: DataFrame, b: DataFrame) -> DataFrame:
 
 def size_deltas(a: DataFrame, b: DataFrame) -> DataFrame:
     """Median and 90th percentile of the difference of cluster sizes that a sequence sees."""
-    sized = lambda df, n: df.join(df.groupBy("cluster_id").agg(F.count(F.lit(1)).alias(n)), "cluster_id").select("seq_id", n)
-    j = sized(a, "na").join(sized(b, "nb"), "seq_id").select(F.abs(F.col("na") - F.col("nb")).alias("d"))
+    sized = lambda df, n: df.join(dealt(df.groupBy("cluster_id").agg(F.count(F.lit(1)).alias(n))), "cluster_id").select("seq_id", n)
+    j = sized(a, "na").join(dealt(sized(b, "nb")), "seq_id").select(F.abs(F.col("na") - F.col("nb")).alias("d"))
     return j.agg(F.percentile("d", 0.5).alias("median_delta"), F.percentile("d", 0.9).alias("p90_delta"))
