@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -29,6 +30,10 @@ def combine(hits: DataFrame, distance: int = 200, least: dict[str, float] | None
     order = hits.select("query_name", "motif_type", F.col("ali_from").cast("long").alias("s"), F.col("ali_to").cast("long").alias("e"), F.col("score").cast("double").alias("score")).where(" or ".join(f"(motif_type = '{t}' and score > {v})" for t, v in least.items()))
     dealt = order.repartition("query_name").sortWithinPartitions("query_name", F.desc("score"), "s", "e", "motif_type")
 
+    def total(chosen: list[tuple]) -> float:
+        """One addition after the other, in the order of choice: sum() makes up for what rounding loses, and totals that the definition tells apart would tie."""
+        return reduce(lambda a, c: a + c[3], chosen[1:], chosen[0][3])
+
     def best(rows: list[tuple]) -> tuple:
         top = None
         for k in range(len(rows)):
@@ -38,11 +43,11 @@ def combine(hits: DataFrame, distance: int = 200, least: dict[str, float] | None
                 near = all(max(r[1] - c[2], c[1] - r[2]) <= distance for c in chosen)
                 if r[0] not in {c[0] for c in chosen} and apart and near:
                     chosen.append(r)
-            key = (-sum(c[3] for c in chosen), min(c[1] for c in chosen))
+            key = (-total(chosen), min(c[1] for c in chosen))
             if top is None or key < top[0]:
                 top = (key, chosen)
         chosen = sorted(top[1], key=lambda c: c[1])
-        return (sum(c[3] for c in chosen), ";".join(sorted(c[0] for c in chosen)), chosen[0][1], max(c[2] for c in chosen), len(chosen))
+        return (-top[0][0], ";".join(sorted(c[0] for c in chosen)), chosen[0][1], max(c[2] for c in chosen), len(chosen))
 
     def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         now, rows = None, []
