@@ -36,7 +36,18 @@ def _windows(codes: np.ndarray, k: int) -> np.ndarray:
     return key
 
 
-def _count_slice(ids: pa.Array, texts: list[str], k: int) -> pa.RecordBatch:
+_TURN = str.maketrans("ACGT", "TGCA")
+
+
+def _strands(key: np.ndarray, at: np.ndarray, text: str, k: int) -> tuple[np.ndarray, list[str]]:
+    """The number of each window's lesser strand, and the strands by number; each distinct window of the slice is turned once."""
+    _, where, back = np.unique(key, return_index=True, return_inverse=True)
+    known: dict[str, int] = {}
+    own = [known.setdefault(min(w, w[::-1].translate(_TURN)), len(known)) for w in (text[s : s + k] for s in at[where].tolist())]
+    return np.array(own, np.int64)[back], list(known)
+
+
+def _count_slice(ids: pa.Array, texts: list[str], k: int, canonical: bool = False) -> pa.RecordBatch:
     """Distinct windows of each text with their numbers, and all windows of the text."""
     codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), "<u4")
     sizes = np.array([len(t) for t in texts], np.int64)
@@ -45,6 +56,8 @@ def _count_slice(ids: pa.Array, texts: list[str], k: int) -> pa.RecordBatch:
     places = np.arange(len(codes)) - first[own] if len(codes) else np.zeros(0, np.int64)
     at = np.flatnonzero(places <= (sizes[own] - k)) if len(codes) >= k else np.zeros(0, np.int64)
     key = _windows(codes, k)[at] if len(at) else np.zeros(0, np.int64)
+    text = "".join(texts)
+    key, strands = _strands(key, at, text, k) if canonical and len(key) else (key, [])
     top = int(key.max()) + 1 if len(key) else 1
     # one number for text and window where it fits sorts six times as fast as the pair
     order = np.argsort(own[at] * top + key) if top < (1 << 62) // max(len(texts), 1) else np.lexsort((key, own[at]))
@@ -52,16 +65,16 @@ def _count_slice(ids: pa.Array, texts: list[str], k: int) -> pa.RecordBatch:
     fresh = np.ones(len(at), bool)
     fresh[1:] = (key[1:] != key[:-1]) | (own[at[1:]] != own[at[:-1]])
     head = np.flatnonzero(fresh)
-    text, starts = "".join(texts), at[head].tolist()
+    words = pa.array(strands, pa.string()).take(pa.array(key[head])) if canonical else pa.array([text[s : s + k] for s in at[head].tolist()], pa.string())
     owner = own[at[head]]
     return pa.RecordBatch.from_arrays(
-        [ids.take(pa.array(owner)), pa.array([text[s : s + k] for s in starts], pa.string()), pa.array(np.diff(np.append(head, len(at)))), pa.array(np.maximum(sizes - (k - 1), 0)[owner])],
+        [ids.take(pa.array(owner)), words, pa.array(np.diff(np.append(head, len(at)))), pa.array(np.maximum(sizes - (k - 1), 0)[owner])],
         names=["id", "kmer", "n", "total"],
     )
 
 
-def counted_rows(df: DataFrame, id_: str, seq: str, k: int) -> DataFrame:
-    """id, kmer, n and total: the distinct windows of each row, counted inside the row, and all its windows.
+def counted_rows(df: DataFrame, id_: str, seq: str, k: int, canonical: bool = False) -> DataFrame:
+    """id, kmer, n and total: the distinct windows (or lesser strands of windows) of each row, counted inside the row, and all its windows.
 
     Rows are counted apart, so nothing is shuffled and no row per window exists.
     """
@@ -75,7 +88,7 @@ def counted_rows(df: DataFrame, id_: str, seq: str, k: int) -> DataFrame:
                 while end < len(texts) and (end == at or size + len(texts[end]) <= SLICE_CHARS):
                     size += len(texts[end])
                     end += 1
-                yield _count_slice(ids.slice(at, end - at), texts[at:end], k)
+                yield _count_slice(ids.slice(at, end - at), texts[at:end], k, canonical)
                 at = end
 
     kind = source.schema["id"].dataType.simpleString()
@@ -84,9 +97,7 @@ def counted_rows(df: DataFrame, id_: str, seq: str, k: int) -> DataFrame:
 
 def kmer_counts(df: DataFrame, id_: str, seq: str, k: int, canonical: bool = False, relative: bool = False) -> DataFrame:
     """id, kmer and n; with ``relative`` also its share within the id. Ids are expected once; rows that repeat one are counted apart."""
-    counted = counted_rows(df, id_, seq, k)
-    if canonical:
-        counted = counted.groupBy("id", sq.canonical_kmer(F.col("kmer")).alias("kmer")).agg(F.sum("n").alias("n"), F.max("total").alias("total"))
+    counted = counted_rows(df, id_, seq, k, canonical)
     return counted.select("id", "kmer", "n", *([(F.col("n") / F.col("total")).alias("share")] if relative else []))
 
 
