@@ -3,7 +3,8 @@
 ``spark.dataSource.register(FastxSource)`` makes ``spark.read.format("fastx")``
 available; ``read_fastx`` does so by itself. Plain files are cut into byte
 ranges that begin at a record, so one large file is read by many tasks;
-gzipped files are read whole, one task each. Paths are opened through
+gzipped files are read whole, one task each. Short ranges grow with the files, up
+to SPLIT_BYTES, so that tasks stay few. Paths are opened through
 pyarrow's file systems.
 """
 
@@ -22,6 +23,8 @@ from pyspark.sql.types import StructType
 
 SCHEMA = "header string, sequence string, quality string"
 SPLIT_BYTES, BATCH = 64 << 20, 512
+#: Beyond so many ranges, besides one of each file, neighbouring ones are read by one task, unless it would get more than SPLIT_BYTES.
+MOST_RANGES = 128
 SUFFIXES = (".fasta", ".fa", ".fna", ".faa", ".ffn", ".fastq", ".fq")
 
 
@@ -108,7 +111,8 @@ def _lines(stream, start: int, end: int | None) -> Iterator[bytes]:
     stream.seek(at)
     inside, rest, first = start == 0, b"", start > 0
     while True:
-        chunk = stream.read(1 << 20)
+        # a range takes what it needs and a little more: the rest of its last record
+        chunk = stream.read(1 << 20 if end is None else max(min(1 << 20, end - stream.tell()), 1 << 12))
         block = rest + chunk
         parts = block.split(b"\n")
         rest = parts.pop() if chunk else b""
@@ -133,12 +137,14 @@ class FastxReader(DataSourceReader):
 
     def partitions(self) -> list[Range]:
         fs, _ = _open(self.uri)
+        files = list_files(self.uri)
+        split = max(self.split, min(SPLIT_BYTES, -(-sum(size for _, size in files) // MOST_RANGES)))
         out = []
-        for path, size in list_files(self.uri):
+        for path, size in files:
             with fs.open_input_file(path) as f:
                 head = f.read_at(1, 0) if size else b""
                 whole = is_gzipped(f) or head != b">"
-            step = max(size, 1) if whole else self.split
+            step = max(size, 1) if whole else split
             out += [Range(self.uri, path, at, min(at + step, size)) for at in range(0, max(size, 1), step)]
         return out
 
