@@ -1,6 +1,6 @@
 """Column -> Column functions over nucleotide and protein strings.
 
-All are built-in expressions but for ``least_strand`` and ``translate``, which
+All are built-in expressions but for ``least_strand``, ``translate`` and ``codon_usage``, which
 work on Arrow batches: as expressions they take ten times as long.
 ``length`` is in bytes and fractions are over characters, which only differs
 on text that is not ASCII.
@@ -14,6 +14,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -236,6 +237,7 @@ def translation_table(code: int = 1, mark_starts: bool = True) -> dict[str, str]
 # Letters as digits: T (U), C, A, G are 0 to 3, so that a complement is an exclusive or with 2; a gap is 4, all else 5.
 _GAP, _OTHER = 4, 5
 _DIGIT = bytes(next((d for d, of in enumerate(("TtUu", "Cc", "Aa", "Gg", "-")) if chr(b) in of), _OTHER) for b in range(256))
+_DROPPED = b" \t\n\x0b\f\r" + bytes(range(0x80, 0xC0))
 _COMPLEMENT_DIGIT = np.array([2, 3, 0, 1, _GAP, _OTHER], np.uint8)
 
 
@@ -252,18 +254,35 @@ def translate(seq: Column, frame: int = 1, code: int = 1, mark_starts: bool = Tr
         a, b, c = codon.encode().translate(_DIGIT)
         proteins[36 * a + 6 * b + c] = ord(protein)
 
-    def protein_of(text: str) -> str:
-        # every code point beyond ASCII is one "?", which is no base
-        digits = np.frombuffer(text.encode("ascii", "replace").translate(_DIGIT, b" \t\n\x0b\f\r"), np.uint8)
-        strand = (digits if frame > 0 else _COMPLEMENT_DIGIT[digits[::-1]])[abs(frame) - 1 :]
-        whole = len(strand) - len(strand) % 3
-        return proteins[36 * strand[:whole:3] + 6 * strand[1:whole:3] + strand[2:whole:3]].tobytes().decode()
+    return _protein(proteins, frame)(seq)
 
-    @F.pandas_udf(T.StringType())
-    def translated(seqs: pd.Series) -> pd.Series:
-        return pd.Series([None if s is None else protein_of(s) for s in seqs], dtype=object)
 
-    return translated(seq)
+def _protein(proteins: np.ndarray, frame: int) -> Callable[[Column], Column]:
+    def of(text: bytes) -> bytes:
+        # of each code point beyond ASCII the first byte stays, which is no base
+        digits = np.frombuffer(text.translate(_DIGIT, _DROPPED), np.uint8)
+        strand = (digits if frame > 0 else _COMPLEMENT_DIGIT[digits[::-1]])[abs(frame) - 1 :]
+        whole = len(strand) - len(strand) % 3
+        at = strand[:whole:3] * np.uint8(36)  # 215 at most
+        at += strand[1:whole:3] * np.uint8(6)
+        at += strand[2:whole:3]
+        return proteins[at].tobytes()
+
+    @F.arrow_udf(T.StringType())
+    def translated(seqs: pa.Array) -> pa.Array:
+        # bytes of the batch's buffer, text by text: no text is copied but the one at work, and proteins are bytes until the end
+        texts = seqs.cast(pa.large_binary())
+        out, ends = bytearray(), [0]
+        offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1].tolist()
+        data = memoryview(texts.buffers()[2] or b"")
+        for a, b in zip(offsets, offsets[1:], strict=False):
+            out += of(bytes(data[a:b]))
+            ends.append(len(out))
+        known = pa.array(np.asarray(texts.is_valid())) if texts.null_count else None
+        made = pa.LargeStringArray.from_buffers(len(texts), pa.py_buffer(np.array(ends, np.int64)), pa.py_buffer(out), known.buffers()[1] if known is not None else None)
+        return made.cast(pa.string())
+
+    return translated
 
 
 FRAMES = (1, 2, 3, -1, -2, -3)
@@ -295,9 +314,32 @@ def orfs(protein: Column, mode: int = 1, least: int = 16) -> Column:
 
 def codon_usage(seq: Column) -> Column:
     """Map from codon to its share in frame 1; codons with N are left out."""
-    kept = F.filter(codons(upper_ascii(seq)), lambda c: ~c.contains("N"))
-    share = lambda all_: F.transform(F.array_sort(F.array_distinct(all_)), lambda c: F.struct(c.alias("key"), (F.size(F.filter(all_, lambda x: x == c)) / F.size(all_)).alias("value")))
-    return F.map_from_entries(_bound(kept, share))
+    return _codon_shares(upper_ascii(seq))
+
+
+@F.arrow_udf(T.MapType(T.StringType(), T.DoubleType()))
+def _codon_shares(seqs: pa.Array) -> pa.Array:
+    return pa.concat_arrays([_shares_of(seqs.slice(k, 500)) for k in range(0, max(len(seqs), 1), 500)])
+
+
+def _shares_of(seqs: pa.Array) -> pa.Array:
+    """Codons of each text as numbers of three code points, counted by sorting."""
+    words, shares, sizes = [], [], []
+    for text in seqs:
+        points = np.frombuffer((text.as_py() or "").encode("utf-32-le"), "<u4")
+        points = points[: len(points) - len(points) % 3].reshape(-1, 3)
+        points = points[(points != ord("N")).all(1)].astype(np.int64)
+        found, times = np.unique((points[:, 0] << 42) | (points[:, 1] << 21) | points[:, 2], return_counts=True)
+        words.append(found)
+        shares.append(times / max(len(points), 1))
+        sizes.append(len(found) if text.is_valid else None)
+    # each distinct codon of the batch becomes a string once
+    distinct, back = np.unique(np.concatenate(words) if words else np.zeros(0, np.int64), return_inverse=True)
+    letters_ = np.stack([distinct >> 42, distinct >> 21 & 0x1FFFFF, distinct & 0x1FFFFF], 1).astype("<u4").tobytes().decode("utf-32-le")
+    names = pa.array([letters_[k : k + 3] for k in range(0, len(letters_), 3)], pa.string()).take(pa.array(back))
+    ends = np.concatenate([[0], np.cumsum([n or 0 for n in sizes])])
+    offsets = pa.array(ends.astype(np.int32), mask=np.array([n is None for n in sizes] + [False]))
+    return pa.MapArray.from_arrays(offsets, names, pa.array(np.concatenate(shares) if shares else np.zeros(0)))
 
 
 # ---- masks and slices -----------------------------------------------------
