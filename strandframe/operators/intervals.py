@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import dealt
+
 BIN = 1 << 10
 
 
@@ -135,12 +137,25 @@ def split_ranges(df: DataFrame, query: str, start: str, end: str, rank: str, tie
     return joined.join(ranked, [query, "uid"]).select(*[F.col("_s").alias(c) if c == start else F.col("_e").alias(c) if c == end else c for c in df.columns])
 
 
+#: Hits that one task gets on average, however many there are.
+TASK_HITS = 1 << 19
+
+
+def _by_query(df: DataFrame, query: str) -> DataFrame:
+    """Dealt by query to as many tasks as its rows need, so a task's memory doesn't follow the input."""
+    return df.repartition(max(1, -(-df.count() // TASK_HITS)), query)
+
+
 def polyproteins(df: DataFrame, query: str, target: str, start: str, end: str, qlen: str, bin_size: int = 50) -> DataFrame:
     """Queries with 10 hits or more, a length of 200 or more, and two bins with three distinct profiles."""
+    return _polyproteins(_by_query(df, query), query, target, start, end, qlen, bin_size)
+
+
+def _polyproteins(df: DataFrame, query: str, target: str, start: str, end: str, qlen: str, bin_size: int = 50) -> DataFrame:
     whole = df.groupBy(query).agg(F.count(F.lit(1)).alias("n"), F.max(qlen).alias("qlen")).where("n >= 10 and qlen >= 200")
     last = F.floor(F.col("_qlen") / bin_size)
     middle = F.floor((F.col(start) + F.col(end)) / 2)
-    binned = df.drop("_qlen").join(whole.select(query, F.col("qlen").alias("_qlen")), query).withColumn("_bin", F.least(F.floor(middle / bin_size), last))
+    binned = df.drop("_qlen").join(dealt(whole.select(query, F.col("qlen").alias("_qlen"))), query).withColumn("_bin", F.least(F.floor(middle / bin_size), last))
     rich = binned.groupBy(query, "_bin").agg(F.count_distinct(target).alias("k")).where("k >= 3")
     return rich.groupBy(query).agg(F.count(F.lit(1)).alias("bins")).where("bins >= 2").select(query)
 
@@ -153,8 +168,9 @@ def overlap_limit(length: Column, polyprotein: Column) -> Column:
 
 def adaptive_limit(df: DataFrame, query: str, target: str, start: str, end: str, qlen: str, per_hit: bool = False) -> DataFrame:
     """The least limit over all hits as one row; or each hit's own."""
-    poly = polyproteins(df, query, target, start, end, qlen).withColumn("_poly", F.lit(True))
-    limits = df.join(poly, query, "left").withColumn("overlap_limit", overlap_limit(F.col(end) - F.col(start), F.coalesce("_poly", F.lit(False)))).drop("_poly")
+    df = _by_query(df, query)
+    poly = _polyproteins(df, query, target, start, end, qlen).withColumn("_poly", F.lit(True))
+    limits = df.join(dealt(poly), query, "left").withColumn("overlap_limit", overlap_limit(F.col(end) - F.col(start), F.coalesce("_poly", F.lit(False)))).drop("_poly")
     return limits if per_hit else limits.agg(F.min("overlap_limit").alias("overlap_limit"))
 
 

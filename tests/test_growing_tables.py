@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strandframe.functions import sequence as sq
-from strandframe.operators import kmers
+from strandframe.operators import intervals, kmers
 from strandframe.sources import fastx
 
 TURN = str.maketrans("ACGT", "TGCA")
@@ -62,3 +62,14 @@ def test_codon_usage_is_counted_once_a_text(spark):
         upper = "".join(c.upper() if c.isascii() else c for c in r.s)
         found = Counter(c for c in (upper[k : k + 3] for k in range(0, len(upper) - 2, 3)) if "N" not in c)
         assert r.u == {c: pytest.approx(n / found.total()) for c, n in found.items()}
+
+
+def test_tasks_of_polyproteins_follow_the_rows(spark, monkeypatch):
+    monkeypatch.setattr(intervals, "TASK_HITS", 100)
+    hits = spark.range(1000).selectExpr("id % 20 as q", "id as t", "id % 7 * 50 as s", "id % 7 * 50 + 20 as e", "400L as qlen")
+    out = intervals.polyproteins(hits, "q", "t", "s", "e", "qlen")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(q" in plan and ", 10)" in plan and "Broadcast" not in plan
+    assert plan.count("Exchange hash") == plan.count(", REPARTITION_BY_NUM")
+    assert {r.q for r in out.collect()} == set(range(20))
+    assert intervals.adaptive_limit(hits, "q", "t", "s", "e", "qlen").first()[0] == 5
